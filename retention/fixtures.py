@@ -103,3 +103,72 @@ DRIFT_PAIR_SQL = """
 cur AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 0),
 ref AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 1)
 """
+
+
+def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored-table stand-in for SQL-checkable scoring rules: cleaned subscribers with
+    ``probability_churn`` = rule score / 100 and ``prediction`` = probability >= 0.5.
+
+    Model-based scores come from ``operators.model``; this stand-in only supplies
+    deterministic rows in the scored schema so downstream rules can be checked by SQL."""
+    from .operators import cleaning, features
+
+    df = features.add_rule_features(cleaning.impute(cleaning.coerce_types(subscribers(spark, sf_dir))))
+    p = F.col("risk_score") / F.lit(100.0)
+    return df.withColumn("probability_churn", p).withColumn("prediction", p >= F.lit(0.5))
+
+
+RULE_SCORED_CTE = """rs AS (
+  SELECT *, risk_score / 100.0 AS probability_churn, risk_score / 100.0 >= 0.5 AS prediction FROM rules)"""
+
+
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric-log stand-in for the fleet monitors: one row per (model, month).
+
+    A "model" is the rule predictor (rule score >= 70) serving one nation's orders;
+    each month its orders' subscribers are scored against their labels with the
+    library's grouped evaluation.  Rows follow ``schema.METRICS_SCHEMA``."""
+    from .operators import cleaning, evaluation, features
+
+    subs = features.add_rule_features(cleaning.impute(cleaning.coerce_types(subscribers(spark, sf_dir))))
+    subs = subs.select(customer_key(F.col("customer_id")).alias("_k"), "churn", "risk_score")
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = (
+        orders.join(cust, orders.o_custkey == cust.c_custkey)
+        .join(nation, cust.c_nationkey == nation.n_nationkey)
+        .join(subs, orders.o_custkey == subs._k)
+        .select(
+            F.col("n_name").alias("model_id"),
+            F.date_trunc("month", F.col("o_orderdate")).alias("ts"),
+            "churn",
+            (F.col("risk_score") >= F.lit(70.0)).alias("prediction"),
+        )
+    )
+    m = evaluation.confusion_metrics(rows, "churn", "prediction", ["model_id", "ts"])
+    return m.select(
+        "model_id", "ts", "accuracy", "precision", "recall", "f1_score",
+        F.lit("1.0.0").alias("model_version"),
+        F.concat(F.col("model_id"), F.lit("-"), F.date_format("ts", "yyyyMM")).alias("run_id"),
+    )
+
+
+METRIC_LOG_CTE = """ml_rows AS (
+  SELECT n.n_name AS model_id, date_trunc('month', o.o_orderdate) AS ts, r.churn AS label, r.risk_score >= 70 AS pred
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN rules r ON CAST(regexp_extract(r.customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) = o.o_custkey
+  WHERE r.churn IS NOT NULL),
+ml_cnt AS (
+  SELECT model_id, ts, COUNT(*) AS n, COUNT(*) FILTER (WHERE label AND pred) AS tp,
+         COUNT(*) FILTER (WHERE NOT label AND pred) AS fp, COUNT(*) FILTER (WHERE label AND NOT pred) AS fn,
+         COUNT(*) FILTER (WHERE NOT label AND NOT pred) AS tn
+  FROM ml_rows GROUP BY model_id, ts),
+ml_pr AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+            CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM ml_cnt),
+mlog AS (
+  SELECT model_id, ts, CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0.0 END AS accuracy, precision, recall,
+         CASE WHEN precision + recall > 0 THEN 2.0::DOUBLE * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score,
+         '1.0.0' AS model_version, model_id || '-' || strftime(ts, '%Y%m') AS run_id
+  FROM ml_pr)"""

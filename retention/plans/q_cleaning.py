@@ -1 +1,212 @@
-"""Registered queries."""
+"""Registered queries: cleaning, predicates, validation, scoring rules (P, V, D9-D18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures
+from ..functions import rules
+from ..functions.encoding import FEATURE_NAMES, FLAG_FEATURES, INDICATORS, NUMERIC_FEATURES
+from ..operators import cleaning, features
+from ..schema import ADDON_COLUMNS, ENUM_DOMAINS, INPUT_COLUMNS, REQUIRED_COLUMNS
+from .catalog import register
+from .q_analytics import clean_subscribers
+from .sql_fragments import FEATURES_CTE, with_subs
+
+IMPUTED_FEATURES_CTE = FEATURES_CTE.replace(
+    "FROM subs)",
+    "FROM (SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs))",
+    1,
+)
+SCORED_CTES = IMPUTED_FEATURES_CTE + ",\n" + fixtures.RULE_SCORED_CTE
+
+
+def _q(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _errors_sql() -> str:
+    """The validation codes as SQL, in the same fixed order as the rules."""
+    parts = []
+    for name in INPUT_COLUMNS:
+        if name != "customer_id":
+            parts.append(f"CASE WHEN {name} IS NULL THEN 'missing_{name}' END")
+    for name, dom in ENUM_DOMAINS.items():
+        parts.append(
+            f"CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({', '.join(_q(v) for v in dom)}) THEN 'invalid_{name}' END"
+        )
+    parts += [
+        "CASE WHEN monthly_charges <= 0 THEN 'monthly_charges_not_positive' END",
+        "CASE WHEN total_charges < 0 THEN 'total_charges_negative' END",
+        "CASE WHEN tenure_months < 0 THEN 'tenure_months_negative' END",
+        "CASE WHEN tenure_months > 0 AND total_charges < monthly_charges * tenure_months * 0.8 "
+        "THEN 'total_charges_inconsistent' END",
+        "CASE WHEN (NOT phone_service AND multiple_lines <> 'No phone service') OR "
+        "(phone_service AND multiple_lines = 'No phone service') THEN 'multiple_lines_inconsistent' END",
+        "CASE WHEN internet_service = 'No' AND ("
+        + " OR ".join(f"{a} NOT IN ('No internet service', 'No')" for a in ADDON_COLUMNS)
+        + ") THEN 'internet_addons_inconsistent' END",
+    ]
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+IMPUTED = "(SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs)"
+
+
+@register(
+    "validation_quarantine",
+    oracle=with_subs(f"SELECT customer_id, error FROM (SELECT customer_id, {_errors_sql()} AS error FROM {IMPUTED} x) e "
+                     "WHERE error <> ''"),
+)
+def q_validation_quarantine(spark, sf_dir):
+    """V1 (V2-V7): quarantined rows with their rule codes."""
+    _, bad = cleaning.validate(clean_subscribers(spark, sf_dir))
+    return bad.select("customer_id", "error")
+
+
+@register(
+    "valid_subscribers",
+    oracle=with_subs(f"SELECT {', '.join(REQUIRED_COLUMNS)} FROM (SELECT *, {_errors_sql()} AS error FROM {IMPUTED} x) e "
+                     "WHERE error = ''"),
+)
+def q_valid_subscribers(spark, sf_dir):
+    """P5 / V1: all rows that pass every rule."""
+    return cleaning.find_all(clean_subscribers(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+
+
+@register("churned_subscribers", oracle=with_subs("SELECT customer_id, tenure_months, monthly_charges FROM subs WHERE churn"))
+def q_churned(spark, sf_dir):
+    """Known churned subscribers."""
+    df = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
+    return cleaning.find_churned(df).select("customer_id", "tenure_months", "monthly_charges")
+
+
+@register(
+    "active_subscribers",
+    oracle=with_subs("SELECT customer_id, tenure_months, monthly_charges FROM subs WHERE NOT churn"),
+)
+def q_active(spark, sf_dir):
+    """Known active subscribers (null labels excluded)."""
+    df = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
+    return cleaning.find_active(df).select("customer_id", "tenure_months", "monthly_charges")
+
+
+LOOKUP_ID = "CUST-0000042"
+
+
+@register(
+    "find_by_id",
+    oracle=with_subs(f"SELECT {', '.join(REQUIRED_COLUMNS)} FROM subs WHERE customer_id = '{LOOKUP_ID}' LIMIT 1"),
+)
+def q_find_by_id(spark, sf_dir):
+    """Point lookup of one subscriber id (the filter reaches the scan)."""
+    df = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
+    return cleaning.find_by_id(df, LOOKUP_ID).select(*REQUIRED_COLUMNS)
+
+
+def _rec_sql(col: str, values: list[str]) -> str:
+    return "[" + ", ".join(_q(v) for v in values) + "]"
+
+
+def _recommendations_sql() -> str:
+    out = " || ".join(
+        [
+            f"CASE WHEN risk_level IN ('High', 'Critical') THEN {_rec_sql('', rules.OUTREACH_ACTIONS)} ELSE [] END",
+            f"CASE WHEN probability_churn > 0.7 THEN [{_q(rules.PRIORITY_ACTION)}] ELSE [] END",
+            f"CASE WHEN customer_segment = 'high_value_high_risk' THEN [{_q(rules.VIP_ACTION)}] ELSE [] END",
+            _rec_sql("", rules.GENERAL_ACTIONS),
+        ]
+    )
+    return (
+        f"array_to_string(CASE WHEN COALESCE(prediction, false) THEN {out} "
+        f"ELSE {_rec_sql('', rules.LOYALTY_ACTIONS)} END, '|')"
+    )
+
+
+PREDICTION_RULES_SQL = with_subs(
+    f"""
+SELECT customer_id, prediction, probability_churn, probability_stay, confidence, risk_level,
+       risk_level_probability, risk_level_display, is_high_risk, customer_segment,
+       {_recommendations_sql()} AS recommendations
+FROM (
+  SELECT *,
+    CASE WHEN probability_churn > 0.8 AND confidence > 0.7 THEN 'Critical'
+         WHEN probability_churn > 0.6 AND confidence > 0.5 THEN 'High'
+         WHEN probability_churn > 0.4 AND confidence > 0.3 THEN 'Medium' ELSE 'Low' END AS risk_level
+  FROM (
+    SELECT customer_id, prediction, probability_churn,
+      1.0 - probability_churn AS probability_stay,
+      abs(2.0 * probability_churn - 1.0) AS confidence,
+      CASE WHEN probability_churn < 0.3 THEN 'low' WHEN probability_churn < 0.5 THEN 'medium'
+           WHEN probability_churn < 0.7 THEN 'high' ELSE 'critical' END AS risk_level_probability,
+      CASE WHEN probability_churn < 0.4 THEN 'Low' WHEN probability_churn < 0.6 THEN 'Medium'
+           WHEN probability_churn <= 0.8 THEN 'High' ELSE 'Critical' END AS risk_level_display,
+      probability_churn >= 0.5 AS is_high_risk,
+      (CASE WHEN monthly_charges > 70 THEN 'high' ELSE 'low' END) || '_value_' ||
+      (CASE WHEN probability_churn >= 0.5 THEN 'high' ELSE 'low' END) || '_risk' AS customer_segment
+    FROM rs) a) b
+""",
+    SCORED_CTES,
+)
+
+
+@register("prediction_rules", oracle=PREDICTION_RULES_SQL)
+def q_prediction_rules(spark, sf_dir):
+    """D9-D15, D18 on a scored table (stand-in probability = rule score / 100)."""
+    s = fixtures.rule_scored(spark, sf_dir)
+    p = F.col("probability_churn")
+    out = s.select(
+        "customer_id",
+        "prediction",
+        "probability_churn",
+        rules.probability_stay(p).alias("probability_stay"),
+        rules.confidence(p).alias("confidence"),
+        rules.risk_level(p, "probability").alias("risk_level_probability"),
+        rules.risk_level(p, "display").alias("risk_level_display"),
+        rules.is_high_risk(p).alias("is_high_risk"),
+        rules.prediction_segment(p).alias("customer_segment"),
+        "monthly_charges",
+    )
+    out = out.withColumn("risk_level", rules.risk_level_confidence(p, F.col("confidence")))
+    out = out.withColumn("recommendations", F.array_join(rules.recommendations(), "|"))
+    return out.drop("monthly_charges")
+
+
+def _encoding_sql() -> str:
+    cols = []
+    for name in FEATURE_NAMES:
+        if name in FLAG_FEATURES:
+            cols.append(f"CAST(COALESCE({name}, false) AS INTEGER) AS {name}")
+        elif name in NUMERIC_FEATURES:
+            cols.append(f"CAST({name} AS DOUBLE) AS {name}")
+        elif name == "gender_male":
+            cols.append("CAST(COALESCE(lower(gender) = 'male', false) AS INTEGER) AS gender_male")
+        else:
+            src, val = INDICATORS[name]
+            cols.append(f"CAST(COALESCE({src} = {_q(val)}, false) AS INTEGER) AS {name}")
+    return "SELECT customer_id, " + ", ".join(cols) + f" FROM {IMPUTED} x"
+
+
+@register("feature_encoding", oracle=with_subs(_encoding_sql()))
+def q_feature_encoding(spark, sf_dir):
+    """The 31-slot serving encoding per subscriber."""
+    return features.encode_features(clean_subscribers(spark, sf_dir))
+
+
+@register(
+    "filter_results",
+    oracle=with_subs(
+        "SELECT customer_id, probability_churn, risk_level FROM ("
+        "SELECT *, CASE WHEN probability_churn > 0.8 AND abs(2.0 * probability_churn - 1.0) > 0.7 THEN 'Critical' "
+        "WHEN probability_churn > 0.6 AND abs(2.0 * probability_churn - 1.0) > 0.5 THEN 'High' "
+        "WHEN probability_churn > 0.4 AND abs(2.0 * probability_churn - 1.0) > 0.3 THEN 'Medium' ELSE 'Low' END AS risk_level "
+        "FROM rs) x WHERE prediction IN (true) AND risk_level IN ('High', 'Critical')",
+        SCORED_CTES,
+    ),
+)
+def q_filter_results(spark, sf_dir):
+    """Scored rows with churn predicted and level High/Critical."""
+    s = fixtures.rule_scored(spark, sf_dir).withColumn("risk_level", rules.risk_level("probability_churn"))
+    return cleaning.filter_results(s, predictions=[True], risk_levels=["High", "Critical"]).select(
+        "customer_id", "probability_churn", "risk_level"
+    )

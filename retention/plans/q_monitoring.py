@@ -1 +1,260 @@
-"""Registered queries."""
+"""Registered queries: drift, metric log, degradation, alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures
+from ..config import DEFAULT
+from ..operators import cleaning, model, monitoring
+from ..sources import writers
+from .catalog import register
+from .q_cleaning import IMPUTED_FEATURES_CTE
+from .sql_fragments import with_subs
+
+SHIFT = 60.0
+NUM_COLS = monitoring.NUMERIC_DRIFT_COLUMNS
+CAT_COLS = monitoring.CATEGORICAL_DRIFT_COLUMNS
+
+
+def _pair(spark, sf_dir, shift=0.0):
+    cur, ref = fixtures.drift_pair(spark, sf_dir, shift)
+    return cleaning.coerce_types(cur), cleaning.coerce_types(ref)
+
+
+def _pair_ctes(shift: float = 0.0) -> str:
+    cur_sel = "*" if not shift else f"* REPLACE (monthly_charges + {shift}::DOUBLE AS monthly_charges)"
+    return (
+        f"cur AS (SELECT {cur_sel} FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 0),\n"
+        "ref AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 1)"
+    )
+
+
+def _ks_ctes() -> str:
+    vals = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v, 1 AS c, 0 AS r FROM cur UNION ALL "
+        f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v, 0 AS c, 1 AS r FROM ref"
+        for c in NUM_COLS
+    )
+    return f"""vals AS ({vals}),
+cnt AS (SELECT col, v, SUM(c) AS n_cur, SUM(r) AS n_ref FROM vals WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY col, v),
+cum AS (SELECT col, SUM(n_cur) OVER (PARTITION BY col ORDER BY v) AS cc, SUM(n_ref) OVER (PARTITION BY col ORDER BY v) AS cr,
+               SUM(n_cur) OVER (PARTITION BY col) AS tc, SUM(n_ref) OVER (PARTITION BY col) AS tr FROM cnt),
+ks0 AS (SELECT col, MAX(abs(cc / tc - cr / tr)) AS d, MAX(tc) AS n, MAX(tr) AS m FROM cum GROUP BY col),
+ks AS (SELECT col, d AS ks_statistic,
+  CASE WHEN sqrt(n * m / (n + m)) * d < 0.2 THEN 1.0::DOUBLE
+       ELSE LEAST(GREATEST(list_sum(list_transform(range(1, 101), lambda k:
+            (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END)
+            * exp(-2.0::DOUBLE * k * k * (sqrt(n * m / (n + m)) * d) * (sqrt(n * m / (n + m)) * d)))), 0.0::DOUBLE), 1.0::DOUBLE)
+  END AS ks_pvalue FROM ks0)"""
+
+
+def _moments_cte() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, (SELECT AVG(CAST({c} AS DOUBLE)) FROM cur) AS cm, (SELECT AVG(CAST({c} AS DOUBLE)) FROM ref) AS rm, "
+        f"(SELECT STDDEV_SAMP(CAST({c} AS DOUBLE)) FROM cur) AS cs, (SELECT STDDEV_SAMP(CAST({c} AS DOUBLE)) FROM ref) AS rsd"
+        for c in NUM_COLS
+    )
+    return f"mom AS ({rows})"
+
+
+def _numeric_drift_sql(shift: float) -> str:
+    body = """
+SELECT col AS "column", round(cm, 6) AS current_mean, round(rm, 6) AS reference_mean,
+       round(cs, 6) AS current_std, round(rsd, 6) AS reference_std,
+       round(abs(cm - rm), 6) AS mean_difference, round(sd, 6) AS std_differences,
+       ks_statistic, round(ks_pvalue, 6) AS ks_pvalue,
+       sd >= 2.0 OR ks_pvalue < 0.01 AS drift_detected,
+       CASE WHEN sd >= 5.0 THEN 'CRITICAL' WHEN sd >= 3.0 THEN 'HIGH' WHEN sd >= 2.0 THEN 'MEDIUM'
+            WHEN ks_pvalue < 0.01 THEN 'MEDIUM' ELSE 'NONE' END AS severity
+FROM (SELECT mom.*, ks.ks_statistic, ks.ks_pvalue,
+             CASE WHEN rsd > 0 THEN abs(cm - rm) / rsd ELSE 0.0 END AS sd
+      FROM mom JOIN ks USING (col)) x
+"""
+    return with_subs(body, _pair_ctes(shift) + ",\n" + _ks_ctes() + ",\n" + _moments_cte())
+
+
+ROUND6 = ["current_mean", "reference_mean", "current_std", "reference_std", "mean_difference", "std_differences", "ks_pvalue"]
+
+
+def _numeric(spark, sf_dir, shift):
+    cur, ref = _pair(spark, sf_dir, shift)
+    d = monitoring.numeric_drift(cur, ref)
+    return d.select(*[F.round(c, 6).alias(c) if c in ROUND6 else F.col(c) for c in d.columns])
+
+
+@register("numeric_drift", oracle=_numeric_drift_sql(0.0))
+def q_numeric_drift(spark, sf_dir):
+    """M1 + M2: even vs odd subscribers (no drift expected); stats rounded to 6 places."""
+    return _numeric(spark, sf_dir, 0.0)
+
+
+@register("numeric_drift_shifted", oracle=_numeric_drift_sql(SHIFT))
+def q_numeric_drift_shifted(spark, sf_dir):
+    """M1 + M2 with current monthly charges shifted by +60 (positive case)."""
+    return _numeric(spark, sf_dir, SHIFT)
+
+
+@register(
+    "ks_two_sample",
+    oracle=with_subs('SELECT col AS "column", ks_statistic FROM ks', _pair_ctes(SHIFT) + ",\n" + _ks_ctes()),
+)
+def q_ks(spark, sf_dir):
+    """M2: exact KS statistic per numeric column (distributed running totals)."""
+    cur, ref = _pair(spark, sf_dir, SHIFT)
+    return monitoring.ks_two_sample(cur, ref, NUM_COLS).select("column", "ks_statistic")
+
+
+def _categorical_sql() -> str:
+    vals = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, 1 AS c, 0 AS r FROM cur UNION ALL "
+        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, 0 AS c, 1 AS r FROM ref"
+        for c in CAT_COLS
+    )
+    body = """
+SELECT col AS "column", tvd AS total_variation_distance, tvd > 0.10 AS drift_detected,
+       CASE WHEN tvd > 0.20 THEN 'MEDIUM' WHEN tvd > 0.10 THEN 'LOW' ELSE 'NONE' END AS severity
+FROM (SELECT cnt.col, SUM(abs(COALESCE(n_cur / NULLIF(t_cur, 0), 0.0) - COALESCE(n_ref / NULLIF(t_ref, 0), 0.0))) / 2.0::DOUBLE AS tvd
+      FROM cnt JOIN tot USING (col) GROUP BY cnt.col) x
+"""
+    ctes = (
+        _pair_ctes(0.0)
+        + f""",
+cvals AS ({vals}),
+cnt AS (SELECT col, v, SUM(c) AS n_cur, SUM(r) AS n_ref FROM cvals WHERE v IS NOT NULL GROUP BY col, v),
+tot AS (SELECT col, SUM(n_cur) AS t_cur, SUM(n_ref) AS t_ref FROM cnt GROUP BY col)"""
+    )
+    return with_subs(body, ctes)
+
+
+@register("categorical_drift", oracle=_categorical_sql())
+def q_categorical_drift(spark, sf_dir):
+    """M3: total variation distance per categorical column (all columns reported)."""
+    cur, ref = _pair(spark, sf_dir)
+    return monitoring.categorical_drift(cur, ref, report_all=True)
+
+
+LABEL_SQL = with_subs(
+    """
+SELECT cr AS current_churn_rate, rr AS reference_churn_rate, abs(cr - rr) AS difference,
+       abs(cr - rr) > 0.05 AS drift_detected,
+       CASE WHEN abs(cr - rr) > 0.10 THEN 'HIGH' WHEN abs(cr - rr) > 0.05 THEN 'MEDIUM' ELSE 'NONE' END AS severity
+FROM (SELECT (SELECT COUNT(*) FILTER (WHERE churn) / NULLIF(COUNT(churn), 0) FROM cur) AS cr,
+             (SELECT COUNT(*) FILTER (WHERE churn) / NULLIF(COUNT(churn), 0) FROM ref) AS rr,
+             (SELECT COUNT(*) FILTER (WHERE churn) FROM cur) AS cp,
+             (SELECT COUNT(*) FILTER (WHERE churn) FROM ref) AS rp) x
+WHERE cp > 0 AND rp > 0
+""",
+    _pair_ctes(0.0),
+)
+
+
+@register("label_drift", oracle=LABEL_SQL)
+def q_label_drift(spark, sf_dir):
+    """M4: churn share difference between current and reference."""
+    cur, ref = _pair(spark, sf_dir)
+    return monitoring.label_drift(cur, ref)
+
+
+def _drift_summary_df(spark, sf_dir, shift=SHIFT):
+    cur, ref = _pair(spark, sf_dir, shift)
+    return monitoring.drift_summary(
+        monitoring.numeric_drift(cur, ref), monitoring.label_drift(cur, ref), monitoring.categorical_drift(cur, ref)
+    )
+
+
+@register("drift_summary", oracle=None)
+def q_drift_summary(spark, sf_dir):
+    """M5: overall drift severity and action for the shifted pair."""
+    return _drift_summary_df(spark, sf_dir)
+
+
+@register(
+    "metric_log_retention",
+    oracle=with_subs(
+        """
+SELECT model_id, run_id, accuracy, precision, recall, f1_score, model_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts DESC, run_id DESC) AS rn FROM mlog) x
+WHERE rn <= 50""",
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE,
+    ),
+)
+def q_metric_log(spark, sf_dir):
+    """Per-model metric log (stand-in) appended and trimmed to the newest 50 runs."""
+    log = writers.append_metrics(spark, None, fixtures.metric_log(spark, sf_dir))
+    return log.select("model_id", "run_id", "accuracy", "precision", "recall", "f1_score", "model_version")
+
+
+def _degradation_sql() -> str:
+    metrics = ["accuracy", "precision", "recall", "f1_score"]
+    avgs = []
+    for m in metrics:
+        avgs.append(f"AVG(CASE WHEN rn > w AND rn <= w + bs AND {m} IS NOT NULL AND {m} <> 0 THEN {m} END) AS baseline_{m}")
+        avgs.append(f"AVG(CASE WHEN rn <= w AND {m} IS NOT NULL AND {m} <> 0 THEN {m} END) AS recent_{m}")
+    degr = [
+        f"CASE WHEN baseline_{m} > 0 THEN (baseline_{m} - recent_{m}) / baseline_{m} ELSE 0.0 END AS {m}_degradation"
+        for m in metrics
+    ]
+    cols = ", ".join(f"baseline_{m}, recent_{m}, {m}_degradation" for m in metrics)
+    body = f"""
+SELECT model_id, data_points, window_size, {cols}, max_degradation,
+  CASE WHEN max_degradation >= 0.20 THEN 'CRITICAL' WHEN max_degradation >= 0.10 THEN 'HIGH'
+       WHEN max_degradation >= 0.05 THEN 'MEDIUM' ELSE 'NONE' END AS severity,
+  COALESCE(max_degradation >= 0.05, false) AS degradation_detected,
+  CASE WHEN window_size < 3 THEN 'insufficient_data' WHEN k < 3 THEN 'unknown'
+       WHEN slope < -0.001 THEN 'decreasing' WHEN slope > 0.001 THEN 'increasing' ELSE 'stable' END AS trend
+FROM (
+  SELECT *, GREATEST({", ".join(f"{m}_degradation" for m in metrics)}) AS max_degradation
+  FROM (
+    SELECT *, {", ".join(degr)} FROM (
+      SELECT model_id, data_points, w AS window_size, {", ".join(avgs)},
+             COUNT(*) FILTER (WHERE ok) AS k, REGR_SLOPE(CASE WHEN ok THEN accuracy END, CAST(x AS DOUBLE)) AS slope
+      FROM (
+        SELECT *, CASE WHEN ok THEN SUM(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY model_id ORDER BY ts, run_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS x
+        FROM (
+          SELECT *, rn <= w AND accuracy IS NOT NULL AND accuracy <> 0 AS ok FROM (
+            SELECT *, CAST(LEAST(5, FLOOR(data_points / 2)) AS INTEGER) AS w,
+                      LEAST(data_points - CAST(LEAST(5, FLOOR(data_points / 2)) AS INTEGER),
+                            2 * CAST(LEAST(5, FLOOR(data_points / 2)) AS INTEGER)) AS bs
+            FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts DESC, run_id DESC) AS rn,
+                            COUNT(*) OVER (PARTITION BY model_id) AS data_points FROM mlog) a
+          ) b WHERE rn <= 15 AND data_points >= 5) c) d
+      GROUP BY model_id, data_points, w) e) f) g
+"""
+    return with_subs(body, IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE)
+
+
+def _metric_log_df(spark, sf_dir):
+    return fixtures.metric_log(spark, sf_dir)
+
+
+@register("performance_degradation", oracle=_degradation_sql())
+def q_performance_degradation(spark, sf_dir):
+    """M6 + M7 per model over the metric log stand-in."""
+    return monitoring.performance_degradation(_metric_log_df(spark, sf_dir))
+
+
+def _latest_metrics(log):
+    """Latest run per model (max_by is a partial aggregate, safe for a hot model)."""
+    return log.groupBy("model_id").agg(
+        *[F.max_by(m, F.struct("ts", "run_id")).alias(m) for m in ["accuracy", "precision", "recall", "f1_score"]]
+    )
+
+
+@register("model_validation")
+def q_model_validation(spark, sf_dir):
+    """T9 per model: latest metrics vs the minimum thresholds."""
+    return model.validate_metrics(_latest_metrics(_metric_log_df(spark, sf_dir)), groups=["model_id"])
+
+
+@register("model_alerts")
+def q_model_alerts(spark, sf_dir):
+    """M8: alert table from drift, degradation, latest metrics and validation per model."""
+    log = _metric_log_df(spark, sf_dir)
+    latest = _latest_metrics(log)
+    validation = model.validation_summary(model.validate_metrics(latest, groups=["model_id"]), groups=["model_id"])
+    out = monitoring.alerts(
+        _drift_summary_df(spark, sf_dir), monitoring.performance_degradation(log), latest, validation, DEFAULT
+    )
+    return out.select("model_id", "type", "severity", "metric", "value", "threshold", "message")
