@@ -172,3 +172,52 @@ mlog AS (
          CASE WHEN precision + recall > 0 THEN 2.0::DOUBLE * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score,
          '1.0.0' AS model_version, model_id || '-' || strftime(ts, '%Y%m') AS run_id
   FROM ml_pr)"""
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(base, changes) stand-ins for keyed maintenance.
+
+    base = odd-numbered subscribers.  changes (with ``change_seq``, arrival order):
+    active subscribers one billing month later; churned subscribers twice (as stored,
+    then a later correction of +1.00 monthly); unlabelled subscribers as new sign-ups
+    without an id."""
+    from .operators import cleaning
+
+    subs = cleaning.coerce_types(subscribers(spark, sf_dir))
+    k = customer_key(F.col("customer_id"))
+    base = subs.filter(k % 2 == 1)
+    seq = k.cast("bigint")
+    later = F.lit(10**12)
+    month = (
+        subs.filter(F.col("churn") == F.lit(False))
+        .withColumn("change_seq", seq)
+        .withColumn("total_charges", F.col("total_charges") + F.col("monthly_charges"))
+        .withColumn("tenure_months", F.col("tenure_months") + F.lit(1))
+    )
+    churned = subs.filter(F.col("churn") == F.lit(True))
+    first = churned.withColumn("change_seq", seq)
+    fix = churned.withColumn("change_seq", seq + later).withColumn(
+        "monthly_charges", F.col("monthly_charges") + F.lit(1.0)
+    )
+    signups = subs.filter(F.col("churn").isNull()).withColumn("change_seq", seq).withColumn(
+        "customer_id", F.lit(None).cast("string")
+    )
+    changes = month.unionByName(first).unionByName(fix).unionByName(signups)
+    return base, changes
+
+
+CHANGE_FEED_CTES = """base AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 1),
+changes AS (
+  SELECT * REPLACE (total_charges + monthly_charges AS total_charges, tenure_months + 1 AS tenure_months),
+         CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) AS change_seq
+  FROM subs WHERE churn = false
+  UNION ALL
+  SELECT *, CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) AS change_seq FROM subs WHERE churn = true
+  UNION ALL
+  SELECT * REPLACE (monthly_charges + 1.0::DOUBLE AS monthly_charges),
+         CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) + 1000000000000 AS change_seq
+  FROM subs WHERE churn = true
+  UNION ALL
+  SELECT * REPLACE (CAST(NULL AS VARCHAR) AS customer_id),
+         CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) AS change_seq
+  FROM subs WHERE churn IS NULL)"""
