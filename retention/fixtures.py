@@ -75,9 +75,26 @@ def subscriber_sql_oracle() -> str:
     return SUBSCRIBER_SQL.format(orders="orders", customer="customer")
 
 
-def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed subscriber table (schema of ``schema.SUBSCRIBER_SCHEMA``)."""
-    return spark.sql(subscriber_sql_spark(sf_dir))
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def subscribers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Typed subscriber table (schema of ``schema.SUBSCRIBER_SCHEMA``).
+
+    By default the view is written once per application as parquet under the shared
+    checkpoint folder and read back, as a production subscriber table would be stored;
+    downstream jobs then scan plain columns (pushdown, pruning, small generated code)."""
+    if not materialize:
+        return spark.sql(subscriber_sql_spark(sf_dir))
+    from .session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, "subscribers")
+        spark.sql(subscriber_sql_spark(sf_dir)).write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
 
 
 def customer_key(id_col) -> "F.Column":

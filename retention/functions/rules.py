@@ -89,13 +89,18 @@ def services_count_raw() -> Column:
 
 # D5
 def avg_monthly_charge() -> Column:
-    return F.col("total_charges") / (F.col("tenure_months") + F.lit(1))
+    # try_divide: a (quarantined) tenure of -1 yields null instead of failing the job
+    return F.try_divide(F.col("total_charges"), F.col("tenure_months") + F.lit(1))
 
 
 # D6
-def lifetime_value() -> Column:
+def lifetime_value(assume_active: bool = False) -> Column:
+    """Churned: monthly x tenure; otherwise monthly x (tenure + expected remaining months).
+    ``assume_active`` ignores the label (a subscriber being scored has no outcome yet)."""
     tenure = F.col("tenure_months")
     remaining = F.when(tenure < 12, 24).when(tenure < 24, 36).otherwise(48)
+    if assume_active:
+        return F.col("monthly_charges") * (tenure + remaining)
     return F.when(churned(), F.col("monthly_charges") * tenure).otherwise(
         F.col("monthly_charges") * (tenure + remaining)
     )

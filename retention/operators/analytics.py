@@ -219,23 +219,23 @@ def pipeline_report(
     version: str = DEFAULT.model_version,
     features_created: tuple[str, ...] = ("avg_monthly_charge", "services_count"),
 ) -> DataFrame:
-    """A10: one report row per run, built from one-row aggregates as scalar subqueries.
+    """A10: one report row per run.
 
+    Each input is reduced to a one-row aggregate by its own job; the report row is
+    assembled from those scalars (a run report, never the data itself).
     ``metrics`` has one row (accuracy, precision, recall, f1_score); ``validation`` has
     a boolean ``passed`` per checked metric."""
-    prof = data_quality_profile(data)
-    out = processed.agg(F.count(F.lit(1)).cast("bigint").alias("processed_samples"))
-    return out.select(
-        prof.select("total_samples").scalar().alias("total_samples"),
-        prof.select("churn_rate").scalar().alias("churn_rate"),
-        prof.select("missing_values").scalar().alias("missing_values"),
-        prof.select("total_samples").scalar().alias("original_samples"),
-        "processed_samples",
-        F.lit(",".join(features_created)).alias("features_created"),
-        metrics.select("accuracy").scalar().alias("accuracy"),
-        metrics.select("precision").scalar().alias("precision"),
-        metrics.select("recall").scalar().alias("recall"),
-        metrics.select("f1_score").scalar().alias("f1_score"),
-        validation.select(F.coalesce(F.bool_and("passed"), F.lit(False))).scalar().alias("validation_passed"),
-        F.lit(version).alias("model_version"),
+    prof = data_quality_profile(data).first()
+    processed_n = processed.count()
+    m = metrics.select("accuracy", "precision", "recall", "f1_score").first()
+    passed = validation.agg(F.coalesce(F.bool_and("passed"), F.lit(False))).first()[0]
+    row = (
+        prof["total_samples"], prof["churn_rate"], prof["missing_values"], prof["total_samples"], processed_n,
+        ",".join(features_created), m["accuracy"], m["precision"], m["recall"], m["f1_score"], bool(passed), version,
+    )
+    return data.sparkSession.createDataFrame(
+        [row],
+        "total_samples bigint, churn_rate double, missing_values bigint, original_samples bigint, "
+        "processed_samples bigint, features_created string, accuracy double, precision double, recall double, "
+        "f1_score double, validation_passed boolean, model_version string",
     )
