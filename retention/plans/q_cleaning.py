@@ -210,3 +210,42 @@ def q_filter_results(spark, sf_dir):
     return cleaning.filter_results(s, predictions=[True], risk_levels=["High", "Critical"]).select(
         "customer_id", "probability_churn", "risk_level"
     )
+
+
+def _dated_subscribers(spark, sf_dir):
+    """Subscribers with created_at / updated_at = first / last order time (stand-in)."""
+    subs = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
+    orders = fixtures.read_table(spark, sf_dir, "orders")
+    span = orders.groupBy("o_custkey").agg(
+        F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at")
+    )
+    return subs.join(span, fixtures.customer_key(F.col("customer_id")) == F.col("o_custkey"), "left").drop("o_custkey")
+
+
+RECORD_TEXT_SQL = with_subs(
+    f"SELECT {', '.join(REQUIRED_COLUMNS)}, "
+    "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') AS updated_at "
+    "FROM subs s LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS created_at, MAX(o_orderdate) AS updated_at "
+    "FROM orders GROUP BY o_custkey) o "
+    "ON CAST(regexp_extract(s.customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) = o.o_custkey"
+)
+
+
+@register("record_text", oracle=RECORD_TEXT_SQL)
+def q_record_text(spark, sf_dir):
+    """Project to the record fields with ISO-8601 timestamp text."""
+    return cleaning.to_record(_dated_subscribers(spark, sf_dir))
+
+
+@register("record_roundtrip", oracle=with_subs(f"SELECT {', '.join(REQUIRED_COLUMNS)} FROM subs"))
+def q_record_roundtrip(spark, sf_dir):
+    """Record text back to typed fields (from_record . to_record is the identity)."""
+    back = cleaning.from_record(cleaning.to_record(_dated_subscribers(spark, sf_dir)))
+    return back.select(*REQUIRED_COLUMNS)
+
+
+@register("guarded_batch", oracle=with_subs("SELECT CAST(COUNT(*) AS BIGINT) AS rows_accepted FROM subs"))
+def q_guarded_batch(spark, sf_dir):
+    """V8 + V9: a batch passes the not-empty guard and the (unset) size guard."""
+    df = cleaning.check_batch_size(cleaning.require_not_empty(fixtures.subscribers(spark, sf_dir)), None)
+    return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows_accepted"))

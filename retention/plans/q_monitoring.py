@@ -58,8 +58,7 @@ def _moments_cte() -> str:
     return f"mom AS ({rows})"
 
 
-def _numeric_drift_sql(shift: float) -> str:
-    body = """
+NUMERIC_BODY = """
 SELECT col AS "column", round(cm, 6) AS current_mean, round(rm, 6) AS reference_mean,
        round(cs, 6) AS current_std, round(rsd, 6) AS reference_std,
        round(abs(cm - rm), 6) AS mean_difference, round(sd, 6) AS std_differences,
@@ -71,7 +70,14 @@ FROM (SELECT mom.*, ks.ks_statistic, ks.ks_pvalue,
              CASE WHEN rsd > 0 THEN abs(cm - rm) / rsd ELSE 0.0 END AS sd
       FROM mom JOIN ks USING (col)) x
 """
-    return with_subs(body, _pair_ctes(shift) + ",\n" + _ks_ctes() + ",\n" + _moments_cte())
+
+
+def _numeric_ctes(shift: float) -> str:
+    return _pair_ctes(shift) + ",\n" + _ks_ctes() + ",\n" + _moments_cte()
+
+
+def _numeric_drift_sql(shift: float) -> str:
+    return with_subs(NUMERIC_BODY, _numeric_ctes(shift))
 
 
 ROUND6 = ["current_mean", "reference_mean", "current_std", "reference_std", "mean_difference", "std_differences", "ks_pvalue"]
@@ -105,26 +111,27 @@ def q_ks(spark, sf_dir):
     return monitoring.ks_two_sample(cur, ref, NUM_COLS).select("column", "ks_statistic")
 
 
-def _categorical_sql() -> str:
+CATEGORICAL_BODY = """
+SELECT col AS "column", tvd AS total_variation_distance, tvd > 0.10 AS drift_detected,
+       CASE WHEN tvd > 0.20 THEN 'MEDIUM' WHEN tvd > 0.10 THEN 'LOW' ELSE 'NONE' END AS severity
+FROM (SELECT ccnt.col, SUM(abs(COALESCE(n_cur / NULLIF(t_cur, 0), 0.0) - COALESCE(n_ref / NULLIF(t_ref, 0), 0.0))) / 2.0::DOUBLE AS tvd
+      FROM ccnt JOIN ctot USING (col) GROUP BY ccnt.col) x
+"""
+
+
+def _categorical_ctes() -> str:
     vals = " UNION ALL ".join(
         f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, 1 AS c, 0 AS r FROM cur UNION ALL "
         f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, 0 AS c, 1 AS r FROM ref"
         for c in CAT_COLS
     )
-    body = """
-SELECT col AS "column", tvd AS total_variation_distance, tvd > 0.10 AS drift_detected,
-       CASE WHEN tvd > 0.20 THEN 'MEDIUM' WHEN tvd > 0.10 THEN 'LOW' ELSE 'NONE' END AS severity
-FROM (SELECT cnt.col, SUM(abs(COALESCE(n_cur / NULLIF(t_cur, 0), 0.0) - COALESCE(n_ref / NULLIF(t_ref, 0), 0.0))) / 2.0::DOUBLE AS tvd
-      FROM cnt JOIN tot USING (col) GROUP BY cnt.col) x
-"""
-    ctes = (
-        _pair_ctes(0.0)
-        + f""",
-cvals AS ({vals}),
-cnt AS (SELECT col, v, SUM(c) AS n_cur, SUM(r) AS n_ref FROM cvals WHERE v IS NOT NULL GROUP BY col, v),
-tot AS (SELECT col, SUM(n_cur) AS t_cur, SUM(n_ref) AS t_ref FROM cnt GROUP BY col)"""
-    )
-    return with_subs(body, ctes)
+    return f"""cvals AS ({vals}),
+ccnt AS (SELECT col, v, SUM(c) AS n_cur, SUM(r) AS n_ref FROM cvals WHERE v IS NOT NULL GROUP BY col, v),
+ctot AS (SELECT col, SUM(n_cur) AS t_cur, SUM(n_ref) AS t_ref FROM ccnt GROUP BY col)"""
+
+
+def _categorical_sql() -> str:
+    return with_subs(CATEGORICAL_BODY, _pair_ctes(0.0) + ",\n" + _categorical_ctes())
 
 
 @register("categorical_drift", oracle=_categorical_sql())
@@ -134,8 +141,7 @@ def q_categorical_drift(spark, sf_dir):
     return monitoring.categorical_drift(cur, ref, report_all=True)
 
 
-LABEL_SQL = with_subs(
-    """
+LABEL_BODY = """
 SELECT cr AS current_churn_rate, rr AS reference_churn_rate, abs(cr - rr) AS difference,
        abs(cr - rr) > 0.05 AS drift_detected,
        CASE WHEN abs(cr - rr) > 0.10 THEN 'HIGH' WHEN abs(cr - rr) > 0.05 THEN 'MEDIUM' ELSE 'NONE' END AS severity
@@ -144,9 +150,27 @@ FROM (SELECT (SELECT COUNT(*) FILTER (WHERE churn) / NULLIF(COUNT(churn), 0) FRO
              (SELECT COUNT(*) FILTER (WHERE churn) FROM cur) AS cp,
              (SELECT COUNT(*) FILTER (WHERE churn) FROM ref) AS rp) x
 WHERE cp > 0 AND rp > 0
-""",
-    _pair_ctes(0.0),
-)
+"""
+LABEL_SQL = with_subs(LABEL_BODY, _pair_ctes(0.0))
+
+
+def _rank_sql(c: str) -> str:
+    return f"(CASE {c} WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END)"
+
+
+def _drift_summary_ctes(shift: float = SHIFT) -> str:
+    return (
+        _numeric_ctes(shift) + ",\n" + _categorical_ctes()
+        + f",\nnumd AS ({NUMERIC_BODY}),\nlabd AS ({LABEL_BODY}),\ncatd AS ({CATEGORICAL_BODY}),\n"
+        + f"""dsum AS (
+  SELECT drift_detected,
+         CASE r WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'NONE' END AS severity,
+         CASE WHEN drift_detected THEN 'warn' ELSE 'none' END AS action
+  FROM (SELECT COALESCE(MAX(r), 0) AS r, COALESCE(BOOL_OR(d), false) AS drift_detected FROM (
+          SELECT {_rank_sql('severity')} AS r, drift_detected AS d FROM numd
+          UNION ALL SELECT {_rank_sql('severity')} AS r, drift_detected AS d FROM labd
+          UNION ALL SELECT 0 AS r, true AS d FROM catd WHERE drift_detected) u) s)"""
+    )
 
 
 @register("label_drift", oracle=LABEL_SQL)
@@ -163,7 +187,7 @@ def _drift_summary_df(spark, sf_dir, shift=SHIFT):
     )
 
 
-@register("drift_summary", oracle=None)
+@register("drift_summary", oracle=with_subs("SELECT drift_detected, severity, action FROM dsum", _drift_summary_ctes()))
 def q_drift_summary(spark, sf_dir):
     """M5: overall drift severity and action for the shifted pair."""
     return _drift_summary_df(spark, sf_dir)
@@ -185,7 +209,7 @@ def q_metric_log(spark, sf_dir):
     return log.select("model_id", "run_id", "accuracy", "precision", "recall", "f1_score", "model_version")
 
 
-def _degradation_sql() -> str:
+def _degradation_body() -> str:
     metrics = ["accuracy", "precision", "recall", "f1_score"]
     avgs = []
     for m in metrics:
@@ -222,7 +246,11 @@ FROM (
           ) b WHERE rn <= 15 AND data_points >= 5) c) d
       GROUP BY model_id, data_points, w) e) f) g
 """
-    return with_subs(body, IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE)
+    return body
+
+
+def _degradation_sql() -> str:
+    return with_subs(_degradation_body(), IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE)
 
 
 def _metric_log_df(spark, sf_dir):
@@ -242,19 +270,65 @@ def _latest_metrics(log):
     )
 
 
-@register("model_validation")
+LATEST_CTE = """latest AS (
+  SELECT model_id, arg_max(accuracy, ts) AS accuracy, arg_max(precision, ts) AS precision,
+         arg_max(recall, ts) AS recall, arg_max(f1_score, ts) AS f1_score FROM mlog GROUP BY model_id),
+mval AS (
+  SELECT model_id, metric, value, threshold, COALESCE(value >= threshold, false) AS passed FROM (
+    SELECT model_id, 'accuracy' AS metric, accuracy AS value, 0.75::DOUBLE AS threshold FROM latest
+    UNION ALL SELECT model_id, 'precision', precision, 0.70::DOUBLE FROM latest
+    UNION ALL SELECT model_id, 'recall', recall, 0.65::DOUBLE FROM latest) x)"""
+
+
+@register(
+    "model_validation",
+    oracle=with_subs(
+        "SELECT model_id, metric, value, threshold, passed FROM mval",
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE + ",\n" + LATEST_CTE,
+    ),
+)
 def q_model_validation(spark, sf_dir):
     """T9 per model: latest metrics vs the minimum thresholds."""
     return model.validate_metrics(_latest_metrics(_metric_log_df(spark, sf_dir)), groups=["model_id"])
 
 
-@register("model_alerts")
+def _alerts_sql() -> str:
+    low = []
+    for typ, m, th in [("LOW_ACCURACY", "accuracy", 0.80), ("LOW_PRECISION", "precision", 0.75),
+                       ("LOW_RECALL", "recall", 0.70), ("LOW_F1_SCORE", "f1_score", 0.75)]:
+        low.append(
+            f"SELECT model_id, '{typ}' AS type, 'WARNING' AS severity, '{m}' AS metric, {m} AS value, "
+            f"{th}::DOUBLE AS threshold FROM latest WHERE {m} < {th}::DOUBLE"
+        )
+    body = "\nUNION ALL\n".join(
+        [
+            "SELECT CAST(NULL AS VARCHAR) AS model_id, 'DATA_DRIFT' AS type, "
+            "CASE severity WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'HIGH' THEN 'HIGH' ELSE 'WARNING' END AS severity, "
+            "CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS threshold "
+            "FROM dsum WHERE drift_detected",
+            "SELECT model_id, 'MODEL_DEGRADATION', "
+            "CASE severity WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'HIGH' THEN 'HIGH' ELSE 'WARNING' END, "
+            "'max_degradation', max_degradation, 0.05::DOUBLE FROM degr WHERE degradation_detected",
+            *low,
+            "SELECT model_id, 'VALIDATION_FAILED', 'CRITICAL', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), "
+            "CAST(NULL AS DOUBLE) FROM mval GROUP BY model_id HAVING NOT BOOL_AND(passed)",
+        ]
+    )
+    ctes = (
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE + ",\n" + LATEST_CTE + ",\n"
+        + _drift_summary_ctes() + f",\ndegr AS ({_degradation_body()})"
+    )
+    return with_subs(body, ctes)
+
+
+@register("model_alerts", oracle=_alerts_sql())
 def q_model_alerts(spark, sf_dir):
-    """M8: alert table from drift, degradation, latest metrics and validation per model."""
+    """M8: alert table from drift, degradation, latest metrics and validation per model
+    (the formatted ``message`` text is left out of the checked columns)."""
     log = _metric_log_df(spark, sf_dir)
     latest = _latest_metrics(log)
     validation = model.validation_summary(model.validate_metrics(latest, groups=["model_id"]), groups=["model_id"])
     out = monitoring.alerts(
         _drift_summary_df(spark, sf_dir), monitoring.performance_degradation(log), latest, validation, DEFAULT
     )
-    return out.select("model_id", "type", "severity", "metric", "value", "threshold", "message")
+    return out.select("model_id", "type", "severity", "metric", "value", "threshold")
