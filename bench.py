@@ -33,7 +33,7 @@ def main() -> None:
     from retention.plans.q_model import trained
 
     t0 = time.perf_counter()
-    trained(spark, sf_dir)[1].count()
+    quality = trained(spark, sf_dir)[1].first().asDict()
     times["train_model"] = round(time.perf_counter() - t0, 3)
     queries = load_all()
     failed = []
@@ -51,6 +51,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total_query_sec", "value": total, "unit": "sec", "queries": times,
         "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus), "failed": failed,
+        "model_quality": {k: (round(v, 4) if isinstance(v, float) else v) for k, v in quality.items()},
     }))
     spark.stop()
 

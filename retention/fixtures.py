@@ -144,7 +144,20 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A "model" is the rule predictor (rule score >= 70) serving one nation's orders;
     each month its orders' subscribers are scored against their labels with the
-    library's grouped evaluation.  Rows follow ``schema.METRICS_SCHEMA``."""
+    library's grouped evaluation.  Rows follow ``schema.METRICS_SCHEMA``.  Like the
+    subscriber table it is stored once per application and read back."""
+    from .session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir) + "#metric_log")
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, "model_metrics_log")
+        _metric_log(spark, sf_dir).write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
+def _metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import cleaning, evaluation, features
 
     subs = features.add_rule_features(cleaning.impute(cleaning.coerce_types(subscribers(spark, sf_dir))))

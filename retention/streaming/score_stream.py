@@ -31,9 +31,14 @@ def start_scoring_stream(
     typed = coerce_types(normalize_columns(raw))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        scored, errors = score_batch(read_with_defaults(batch), model)
-        scored.write.mode("overwrite").parquet(os.path.join(output_dir, "scored", f"epoch={epoch_id}"))
-        errors.write.mode("overwrite").parquet(os.path.join(output_dir, "errors", f"epoch={epoch_id}"))
+        # both outputs read the micro-batch (bounded by the trigger): parse the files once
+        batch = batch.persist()
+        try:
+            scored, errors = score_batch(read_with_defaults(batch), model)
+            scored.write.mode("overwrite").parquet(os.path.join(output_dir, "scored", f"epoch={epoch_id}"))
+            errors.write.mode("overwrite").parquet(os.path.join(output_dir, "errors", f"epoch={epoch_id}"))
+        finally:
+            batch.unpersist()
 
     w = typed.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
     if available_now:
