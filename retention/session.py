@@ -27,24 +27,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and must be shared storage; we only
-    read it.  Where it is unset (tests, local runs) we create our own folder once and
-    register it, so later calls and ``DataFrame.checkpoint()`` use the same place.
-    """
+    read it.  Where it is unset (tests, local runs) the context's checkpoint folder is
+    used, or one folder is created once per application and registered with
+    ``setCheckpointDir`` so ``DataFrame.checkpoint()`` writes there too."""
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="retention-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    else:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+        return root
+    app = sc.applicationId
+    if app not in _LOCAL_ROOTS:
+        current = sc.getCheckpointDir()
+        if current is None:
+            current = tempfile.mkdtemp(prefix="retention-ckpt-")
+            sc.setCheckpointDir(current)
+        _LOCAL_ROOTS[app] = current
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,4 +58,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark)
     if root.startswith("file:"):
         root = root[len("file:"):]
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex}"

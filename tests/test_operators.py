@@ -118,3 +118,36 @@ def test_alerts(spark):
     metrics = spark.createDataFrame([("m1", 0.79, 0.9, 0.9, 0.9)], "model_id string, accuracy double, precision double, recall double, f1_score double")
     out = monitoring.alerts(drift, None, metrics, None).collect()
     assert {(r.type, r.severity) for r in out} == {("DATA_DRIFT", "HIGH"), ("LOW_ACCURACY", "WARNING")}
+
+
+def test_checkpoint_root_fallback_does_not_touch_conf():
+    """Where spark.checkpoint.dir is unset, one folder per application is registered
+    with the context; the (unmodifiable) core setting itself is never written."""
+    from retention import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):  # pragma: no cover - must not be called
+            raise AssertionError("core config written")
+
+    class Ctx:
+        applicationId = "app-test-fallback"
+        _dir = None
+
+        def getCheckpointDir(self):
+            return self._dir
+
+        def setCheckpointDir(self, d):
+            self._dir = d
+
+    class Sess:
+        conf = Conf()
+        sparkContext = Ctx()
+
+    s = Sess()
+    root = session.checkpoint_root(s)
+    assert s.sparkContext.getCheckpointDir() == root
+    assert session.checkpoint_root(s) == root
+    assert session.scratch_path(s, "t").startswith(root.rstrip("/") + "/t-")
