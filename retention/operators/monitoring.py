@@ -207,6 +207,19 @@ def drift_summary(numeric: DataFrame, label: DataFrame, categorical: DataFrame,
     return s.select("drift_detected", sev.alias("severity"), F.coalesce(action, F.lit("none")).alias("action"))
 
 
+class DriftStop(RuntimeError):
+    pass
+
+
+def enforce_drift_action(summary: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """M5 action: raise when the action is ``stop`` (HIGH/CRITICAL drift with
+    ``drift_action='stop'``); otherwise pass the one-row summary through."""
+    row = summary.first()
+    if row is not None and row["action"] == "stop":
+        raise DriftStop(f"Significant data drift detected (Severity: {row['severity']}) - stopping")
+    return summary
+
+
 def _truthy_avg(c: Column, cond: Column) -> Column:
     """Mean over rows where cond holds, skipping null and 0 (as a truthiness filter does)."""
     return F.avg(F.when(cond & c.isNotNull() & (c != 0), c))

@@ -59,3 +59,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def cluster_conf(total_input_tb: float = 100.0) -> dict[str, str]:
+    """Settings we recommend for the full-size deployment (applied by the job launcher;
+    tests and the local benchmark use ``local_session``).
+
+    AQE sizes shuffles at run time from a generous initial partition count, splits
+    skewed join partitions, and turns joins against small change sets into broadcasts
+    when runtime statistics allow.  Scan splits stay at 256 MB so a task's input fits
+    comfortably in executor memory."""
+    initial = max(2000, int(total_input_tb * 1024 * 1024 / 256 / 4))  # ~1 GB of shuffle per initial partition
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+    }

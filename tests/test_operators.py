@@ -151,3 +151,18 @@ def test_checkpoint_root_fallback_does_not_touch_conf():
     assert s.sparkContext.getCheckpointDir() == root
     assert session.checkpoint_root(s) == root
     assert session.scratch_path(s, "t").startswith(root.rstrip("/") + "/t-")
+
+
+def test_drift_stop_action(spark):
+    from retention.config import Thresholds
+
+    t = Thresholds(drift_action="stop")
+    num = spark.createDataFrame([(True, "CRITICAL")], "drift_detected boolean, severity string")
+    lab = spark.createDataFrame([], "drift_detected boolean, severity string")
+    cat = spark.createDataFrame([], "drift_detected boolean")
+    summary = monitoring.drift_summary(num, lab, cat, t)
+    assert summary.first().action == "stop"
+    with pytest.raises(monitoring.DriftStop):
+        monitoring.enforce_drift_action(summary, t)
+    warn = monitoring.drift_summary(num, lab, cat)
+    assert monitoring.enforce_drift_action(warn).first().action == "warn"
