@@ -92,7 +92,10 @@ def subscribers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, "subscribers")
-        spark.sql(subscriber_sql_spark(sf_dir)).write.parquet(path)
+        # one file per core, hash-partitioned by id (the key of every maintenance job);
+        # an explicit count keeps AQE from collapsing a small table into one task
+        parts = spark.sparkContext.defaultParallelism
+        spark.sql(subscriber_sql_spark(sf_dir)).repartition(parts, "customer_id").write.parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
