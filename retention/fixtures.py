@@ -100,6 +100,13 @@ def subscribers(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     return spark.read.parquet(path)
 
 
+def clean_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subscriber table typed (P1) with missing total charges imputed."""
+    from .operators import cleaning
+
+    return cleaning.impute(cleaning.coerce_types(subscribers(spark, sf_dir)))
+
+
 def customer_key(id_col) -> "F.Column":
     """Numeric customer key of a ``CUST-nnnnnnn`` id (the view's id format)."""
     return F.regexp_extract(id_col, r"^CUST-([0-9]+)$", 1).cast("bigint")

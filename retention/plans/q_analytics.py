@@ -10,9 +10,7 @@ from .catalog import register
 from .sql_fragments import FEATURES_CTE, with_subs
 
 
-def clean_subscribers(spark, sf_dir):
-    """Typed and imputed subscriber table (P1 + P2) from the derived view."""
-    return cleaning.impute(cleaning.coerce_types(fixtures.subscribers(spark, sf_dir)))
+clean_subscribers = fixtures.clean_subscribers
 
 
 @register(
@@ -92,20 +90,11 @@ def q_summary_statistics(spark, sf_dir):
     return analytics.summary_statistics(cleaning.coerce_types(fixtures.subscribers(spark, sf_dir)))
 
 
-from .. import fixtures as _fx  # noqa: E402
 from ..operators import evaluation, model  # noqa: E402
-from .sql_fragments import FEATURES_CTE as _FC  # noqa: E402
-from .q_cleaning import _errors_sql  # noqa: E402
-
-_IMPUTED_FC = _FC.replace(
-    "FROM subs)",
-    "FROM (SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs))",
-    1,
-)
-_SCORED = _IMPUTED_FC + ",\n" + _fx.RULE_SCORED_CTE
-_RL = ("CASE WHEN probability_churn > 0.8 AND abs(2.0 * probability_churn - 1.0) > 0.7 THEN 'Critical' "
-       "WHEN probability_churn > 0.6 AND abs(2.0 * probability_churn - 1.0) > 0.5 THEN 'High' "
-       "WHEN probability_churn > 0.4 AND abs(2.0 * probability_churn - 1.0) > 0.3 THEN 'Medium' ELSE 'Low' END")
+from .sql_fragments import IMPUTED_FEATURES_CTE as _IMPUTED_FC  # noqa: E402
+from .sql_fragments import RISK_LEVEL_SQL as _RL  # noqa: E402
+from .sql_fragments import SCORED_CTES as _SCORED  # noqa: E402
+from .sql_fragments import errors_sql as _errors_sql  # noqa: E402
 
 
 def _nulls_sql() -> str:

@@ -6,51 +6,15 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions import rules
+from ..fixtures import clean_subscribers
 from ..functions.encoding import FEATURE_NAMES, FLAG_FEATURES, INDICATORS, NUMERIC_FEATURES
 from ..operators import cleaning, features
-from ..schema import ADDON_COLUMNS, ENUM_DOMAINS, INPUT_COLUMNS, REQUIRED_COLUMNS
+from ..schema import REQUIRED_COLUMNS
 from .catalog import register
-from .q_analytics import clean_subscribers
-from .sql_fragments import FEATURES_CTE, with_subs
+from .sql_fragments import IMPUTED, SCORED_CTES, errors_sql, quote, with_subs
 
-IMPUTED_FEATURES_CTE = FEATURES_CTE.replace(
-    "FROM subs)",
-    "FROM (SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs))",
-    1,
-)
-SCORED_CTES = IMPUTED_FEATURES_CTE + ",\n" + fixtures.RULE_SCORED_CTE
-
-
-def _q(v: str) -> str:
-    return "'" + v.replace("'", "''") + "'"
-
-
-def _errors_sql() -> str:
-    """The validation codes as SQL, in the same fixed order as the rules."""
-    parts = []
-    for name in INPUT_COLUMNS:
-        if name != "customer_id":
-            parts.append(f"CASE WHEN {name} IS NULL THEN 'missing_{name}' END")
-    for name, dom in ENUM_DOMAINS.items():
-        parts.append(
-            f"CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({', '.join(_q(v) for v in dom)}) THEN 'invalid_{name}' END"
-        )
-    parts += [
-        "CASE WHEN monthly_charges <= 0 THEN 'monthly_charges_not_positive' END",
-        "CASE WHEN total_charges < 0 THEN 'total_charges_negative' END",
-        "CASE WHEN tenure_months < 0 THEN 'tenure_months_negative' END",
-        "CASE WHEN tenure_months > 0 AND total_charges < monthly_charges * tenure_months * 0.8 "
-        "THEN 'total_charges_inconsistent' END",
-        "CASE WHEN (NOT phone_service AND multiple_lines <> 'No phone service') OR "
-        "(phone_service AND multiple_lines = 'No phone service') THEN 'multiple_lines_inconsistent' END",
-        "CASE WHEN internet_service = 'No' AND ("
-        + " OR ".join(f"{a} NOT IN ('No internet service', 'No')" for a in ADDON_COLUMNS)
-        + ") THEN 'internet_addons_inconsistent' END",
-    ]
-    return "concat_ws(',', " + ", ".join(parts) + ")"
-
-
-IMPUTED = "(SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs)"
+_errors_sql = errors_sql
+_q = quote
 
 
 @register(

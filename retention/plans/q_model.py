@@ -15,8 +15,8 @@ from ..session import scratch_path
 from ..sources import readers, writers
 from ..streaming.score_stream import score_directory_once
 from .catalog import register
-from .q_analytics import clean_subscribers
-from .sql_fragments import with_subs
+from ..fixtures import clean_subscribers
+from .sql_fragments import SCORED_CTES, with_subs
 
 COLS = ", ".join(REQUIRED_COLUMNS)
 _MODELS: dict[tuple[str, str], tuple[object, object]] = {}
@@ -111,7 +111,7 @@ def q_reference(spark, sf_dir):
     "results_csv_export",
     oracle=with_subs(
         "SELECT customer_id, prediction, probability_churn, risk_score FROM rs",
-        __import__("retention.plans.q_cleaning", fromlist=["SCORED_CTES"]).SCORED_CTES,
+        SCORED_CTES,
     ),
 )
 def q_results_export(spark, sf_dir):

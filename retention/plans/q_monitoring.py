@@ -9,8 +9,7 @@ from ..config import DEFAULT
 from ..operators import cleaning, model, monitoring
 from ..sources import writers
 from .catalog import register
-from .q_cleaning import IMPUTED_FEATURES_CTE
-from .sql_fragments import with_subs
+from .sql_fragments import IMPUTED_FEATURES_CTE, with_subs
 
 SHIFT = 60.0
 NUM_COLS = monitoring.NUMERIC_DRIFT_COLUMNS

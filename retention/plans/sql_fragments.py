@@ -6,7 +6,8 @@ they are the independent check of the DataFrame implementation, not used by it.
 
 from __future__ import annotations
 
-from ..fixtures import subscriber_sql_oracle
+from ..fixtures import RULE_SCORED_CTE, subscriber_sql_oracle
+from ..schema import ADDON_COLUMNS, ENUM_DOMAINS, INPUT_COLUMNS
 
 ADDONS = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv", "streaming_movies"]
 
@@ -72,3 +73,44 @@ rules AS (
          {LIFETIME_SQL} AS lifetime_value,
          {SEGMENT_SQL} AS segment
   FROM scored)"""
+
+# subscribers after P2 (missing total charges imputed), then the rule columns
+IMPUTED = "(SELECT * REPLACE (COALESCE(total_charges, monthly_charges * tenure_months) AS total_charges) FROM subs)"
+IMPUTED_FEATURES_CTE = FEATURES_CTE.replace("FROM subs)", f"FROM {IMPUTED})", 1)
+# the rule-score stand-in for scored rows (probability = rule score / 100)
+SCORED_CTES = IMPUTED_FEATURES_CTE + ",\n" + RULE_SCORED_CTE
+
+RISK_LEVEL_SQL = (
+    "CASE WHEN probability_churn > 0.8 AND abs(2.0 * probability_churn - 1.0) > 0.7 THEN 'Critical' "
+    "WHEN probability_churn > 0.6 AND abs(2.0 * probability_churn - 1.0) > 0.5 THEN 'High' "
+    "WHEN probability_churn > 0.4 AND abs(2.0 * probability_churn - 1.0) > 0.3 THEN 'Medium' ELSE 'Low' END"
+)
+
+
+def quote(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def errors_sql() -> str:
+    """The validation codes as SQL, in the same fixed order as the rules."""
+    parts = []
+    for name in INPUT_COLUMNS:
+        if name != "customer_id":
+            parts.append(f"CASE WHEN {name} IS NULL THEN 'missing_{name}' END")
+    for name, dom in ENUM_DOMAINS.items():
+        parts.append(
+            f"CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({', '.join(quote(v) for v in dom)}) THEN 'invalid_{name}' END"
+        )
+    parts += [
+        "CASE WHEN monthly_charges <= 0 THEN 'monthly_charges_not_positive' END",
+        "CASE WHEN total_charges < 0 THEN 'total_charges_negative' END",
+        "CASE WHEN tenure_months < 0 THEN 'tenure_months_negative' END",
+        "CASE WHEN tenure_months > 0 AND total_charges < monthly_charges * tenure_months * 0.8 "
+        "THEN 'total_charges_inconsistent' END",
+        "CASE WHEN (NOT phone_service AND multiple_lines <> 'No phone service') OR "
+        "(phone_service AND multiple_lines = 'No phone service') THEN 'multiple_lines_inconsistent' END",
+        "CASE WHEN internet_service = 'No' AND ("
+        + " OR ".join(f"{a} NOT IN ('No internet service', 'No')" for a in ADDON_COLUMNS)
+        + ") THEN 'internet_addons_inconsistent' END",
+    ]
+    return "concat_ws(',', " + ", ".join(parts) + ")"
