@@ -144,6 +144,21 @@ def data_quality_profile(df: DataFrame, min_rows: int = 100, minority_warn: floa
     )
 
 
+class DataQualityError(ValueError):
+    pass
+
+
+def require_quality(profile: DataFrame) -> DataFrame:
+    """A5 gate: raise on missing required columns or fewer than the minimum rows (the
+    training run stops); warnings (high nulls, class imbalance) stay in the profile."""
+    row = profile.first()
+    if row["missing_columns_error"]:
+        raise DataQualityError(f"Missing required columns: {row['missing_columns']}")
+    if row["too_small_error"]:
+        raise DataQualityError(f"Dataset too small for training ({row['total_samples']} samples)")
+    return profile
+
+
 def batch_summary(scored: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Counts and rates of one scored batch (quarantined rows counted as errors)."""
     n = F.count(F.lit(1))

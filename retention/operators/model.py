@@ -226,6 +226,18 @@ def validation_summary(validation: DataFrame, groups: list[str] | None = None) -
     )
 
 
+class ModelValidationError(ValueError):
+    pass
+
+
+def require_valid(summary: DataFrame) -> DataFrame:
+    """T9 gate: raise when any group failed validation (deployment is skipped)."""
+    failed = summary.filter(~F.col("passed")).limit(1).collect()
+    if failed:
+        raise ModelValidationError("Model validation failed - metrics below threshold")
+    return summary
+
+
 def promote(spark: SparkSession, registry_path: str | None, entry: DataFrame, out_path: str) -> DataFrame:
     """Append a model entry (model_path, model_version, ts, passed, metrics...) to
     the registry as a new snapshot; returns the written registry."""

@@ -166,3 +166,21 @@ def test_drift_stop_action(spark):
         monitoring.enforce_drift_action(summary, t)
     warn = monitoring.drift_summary(num, lab, cat)
     assert monitoring.enforce_drift_action(warn).first().action == "warn"
+
+
+def test_quality_and_validation_gates(spark):
+    from retention.operators import model
+
+    small = frame(spark, EX1)
+    with pytest.raises(analytics.DataQualityError):
+        analytics.require_quality(analytics.data_quality_profile(small))
+    missing = small.drop("payment_method")
+    prof = analytics.data_quality_profile(missing).first()
+    assert prof.missing_columns == "payment_method" and prof.missing_columns_error
+    good = spark.createDataFrame([(0.9, 0.8, 0.7, 0.75)], "accuracy double, precision double, recall double, f1_score double")
+    bad = spark.createDataFrame([(0.9, 0.6, 0.7, 0.65)], "accuracy double, precision double, recall double, f1_score double")
+    model.require_valid(model.validation_summary(model.validate_metrics(good)))
+    with pytest.raises(model.ModelValidationError):
+        model.require_valid(model.validation_summary(model.validate_metrics(bad)))
+    fails = {r.metric: r.passed for r in model.validate_metrics(bad).collect()}
+    assert fails == {"accuracy": True, "precision": False, "recall": True}
