@@ -24,7 +24,8 @@ def main() -> None:
     from retention.plans.catalog import load_all
     from retention.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2), app="retention-bench")
+    # small inputs: one shuffle partition per core (AQE coalesces further where it can)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="retention-bench")
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     t0 = time.perf_counter()
