@@ -60,3 +60,16 @@ def create_or_load_reference(spark: SparkSession, current: DataFrame, path: str)
         return spark.read.parquet(path), False
     current.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path), True
+
+
+def save_bucketed(df: DataFrame, table_name: str, path: str, key: str = "customer_id",
+                  buckets: int | None = None) -> DataFrame:
+    """Store a keyed table bucketed and sorted by ``key`` (an external table at ``path``).
+
+    Keyed maintenance (upsert / update / delete) then joins against it without
+    shuffling the stored side: only the change set is hash-partitioned to match the
+    buckets.  Pick ``buckets`` so each bucket file is a few hundred MB."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).mode("errorifexists").saveAsTable(table_name)
+    return spark.table(table_name)

@@ -63,3 +63,33 @@ def test_top_rows_per_model_limited_before_shuffle(spark):
     log = fixtures.metric_log(spark, SF_SMALL)
     text = plan_text(monitoring.performance_degradation(log))
     assert "WindowGroupLimit" in text
+
+
+def test_bucketed_base_is_not_shuffled_by_upsert(spark):
+    """With the base stored bucketed by id, the anti join reads it in place (only the
+    change set is shuffled), even when neither side may be broadcast."""
+    import uuid
+
+    from retention.operators import tables
+    from retention.session import scratch_path
+    from retention.sources.writers import save_bucketed
+
+    base, changes = fixtures.change_feed(spark, SF_SMALL)
+    name = f"subs_bucketed_{uuid.uuid4().hex[:8]}"
+    stored = save_bucketed(base, name, scratch_path(spark, "bucketed"), buckets=8)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        out = tables.upsert(stored, changes, "change_seq")
+        lines = plan_text(out).splitlines()
+        j = next(i for i, l in enumerate(lines) if "SortMergeJoin" in l and "LeftAnti" in l)
+        scan = next(i for i in range(j, len(lines)) if f"default.{name}" in lines[i])
+        assert not any("Exchange" in l for l in lines[j + 1:scan])
+        assert out.count() == tables.upsert(base, changes, "change_seq").count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
