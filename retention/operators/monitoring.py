@@ -71,19 +71,31 @@ def ks_two_sample(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFra
     )
 
 
-def _moments(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    wide = df.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
-    )
+def _sides(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFrame:
+    """Both tables stacked with a side flag (0 = current, 1 = reference): one scan of
+    each serves every per-side aggregate below."""
+    return cur.select(*columns, F.lit(0).alias("_side")).unionByName(ref.select(*columns, F.lit(1).alias("_side")))
+
+
+def _moments(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean and sample std per column and side, in one conditional aggregate."""
+    both = _sides(cur, ref, columns)
+    aggs = []
+    for i, c in enumerate(columns):
+        for side, prefix in ((0, "c"), (1, "r")):
+            v = F.when(F.col("_side") == side, F.col(c).cast("double"))
+            aggs += [F.avg(v).alias(f"{prefix}m{i}"), F.stddev_samp(v).alias(f"{prefix}s{i}")]
+    wide = both.agg(*aggs)
     return wide.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        F.col(f"m{i}").alias(f"{prefix}_mean"),
-                        F.col(f"s{i}").alias(f"{prefix}_std"),
+                        F.col(f"cm{i}").alias("current_mean"),
+                        F.col(f"rm{i}").alias("reference_mean"),
+                        F.col(f"cs{i}").alias("current_std"),
+                        F.col(f"rs{i}").alias("reference_std"),
                     )
                     for i, c in enumerate(columns)
                 ]
@@ -97,9 +109,8 @@ def numeric_drift(
 ) -> DataFrame:
     """M1: mean shift in reference standard deviations, KS test, and severity per column."""
     cols = [c for c in (columns or NUMERIC_DRIFT_COLUMNS) if c in cur.columns and c in ref.columns]
-    mc, mr = _moments(cur, cols, "current"), _moments(ref, cols, "reference")
     ks = ks_two_sample(cur, ref, cols)
-    j = mc.join(mr, "column").join(ks, "column")
+    j = _moments(cur, ref, cols).join(ks, "column")
     diff = F.abs(F.col("current_mean") - F.col("reference_mean"))
     std_diff = F.when(F.col("reference_std") > 0, diff / F.col("reference_std")).otherwise(F.lit(0.0))
     j = j.withColumn("mean_difference", diff).withColumn("std_differences", std_diff)
@@ -155,20 +166,16 @@ def label_drift(cur: DataFrame, ref: DataFrame, label: str = "churn", t: Thresho
     """M4: churn share difference (shares among labelled rows).
 
     No row when either side has no positive label (the comparison is then skipped)."""
-    def rate(df: DataFrame, name: str) -> DataFrame:
-        y = F.col(label)
-        return df.agg(
-            (F.count_if(y) / F.nullif(F.count(y), F.lit(0))).alias(name), F.count_if(y).alias(f"{name}_pos")
-        )
-
-    rc = rate(cur, "current_churn_rate")
-    rr = rate(ref, "reference_churn_rate")
-    j = rc.select(
-        "current_churn_rate",
-        "current_churn_rate_pos",
-        rr.select("reference_churn_rate").scalar().alias("reference_churn_rate"),
-        rr.select("reference_churn_rate_pos").scalar().alias("reference_churn_rate_pos"),
-    ).filter((F.col("current_churn_rate_pos") > 0) & (F.col("reference_churn_rate_pos") > 0))
+    both = _sides(cur, ref, [label])
+    y = F.col(label)
+    pos = {side: F.count_if((F.col("_side") == side) & y) for side in (0, 1)}
+    labelled = {side: F.count(F.when(F.col("_side") == side, y)) for side in (0, 1)}
+    j = both.agg(
+        (pos[0] / F.nullif(labelled[0], F.lit(0))).alias("current_churn_rate"),
+        (pos[1] / F.nullif(labelled[1], F.lit(0))).alias("reference_churn_rate"),
+        pos[0].alias("_cp"),
+        pos[1].alias("_rp"),
+    ).filter((F.col("_cp") > 0) & (F.col("_rp") > 0))
     diff = F.abs(F.col("current_churn_rate") - F.col("reference_churn_rate"))
     return j.select(
         "current_churn_rate",
