@@ -44,39 +44,47 @@ def impute_total_charges() -> Column:
     return F.coalesce(F.col("total_charges"), F.col("monthly_charges") * F.col("tenure_months"))
 
 
-# ---- row rules: each returns a code (string) when the row breaks the rule, else null ---
-def _fail(cond: Column, code: str) -> Column:
-    return F.when(cond, F.lit(code))
-
-
-def rule_codes() -> list[Column]:
+# ---- row rules: (condition, code) pairs; a row breaks a rule when its condition is true --
+def rule_checks() -> list[tuple[Column, str]]:
     """All rule checks in a fixed order (V4 nulls/domains, V2/V3 ranges, V5-V7)."""
-    codes: list[Column] = []
+    checks: list[tuple[Column, str]] = []
     for name in INPUT_COLUMNS:
         if name == "customer_id":
             continue  # optional on input
-        codes.append(_fail(F.col(name).isNull(), f"missing_{name}"))
+        checks.append((F.col(name).isNull(), f"missing_{name}"))
     for name, domain in ENUM_DOMAINS.items():
-        codes.append(_fail(F.col(name).isNotNull() & ~F.col(name).isin(*domain), f"invalid_{name}"))
+        checks.append((F.col(name).isNotNull() & ~F.col(name).isin(*domain), f"invalid_{name}"))
     mc, tc, ten = F.col("monthly_charges"), F.col("total_charges"), F.col("tenure_months")
-    codes.append(_fail(mc <= 0, "monthly_charges_not_positive"))
-    codes.append(_fail(tc < 0, "total_charges_negative"))
-    codes.append(_fail(ten < 0, "tenure_months_negative"))
+    checks.append((mc <= 0, "monthly_charges_not_positive"))
+    checks.append((tc < 0, "total_charges_negative"))
+    checks.append((ten < 0, "tenure_months_negative"))
     # V5: total must reach 80 % of monthly x tenure for customers with tenure
-    codes.append(_fail((ten > 0) & (tc < mc * ten * F.lit(0.8)), "total_charges_inconsistent"))
+    checks.append(((ten > 0) & (tc < mc * ten * F.lit(0.8)), "total_charges_inconsistent"))
     # V6: phone service and lines agree
     ph, ml = F.col("phone_service"), F.col("multiple_lines")
-    codes.append(
-        _fail((~ph & (ml != "No phone service")) | (ph & (ml == "No phone service")), "multiple_lines_inconsistent")
-    )
+    checks.append((((~ph) & (ml != "No phone service")) | (ph & (ml == "No phone service")), "multiple_lines_inconsistent"))
     # V7: without internet, every add-on is "No internet service" or "No"
     addon_bad = F.lit(False)
     for a in ADDON_COLUMNS:
         addon_bad = addon_bad | ~F.col(a).isin("No internet service", "No")
-    codes.append(_fail((F.col("internet_service") == "No") & addon_bad, "internet_addons_inconsistent"))
-    return codes
+    checks.append(((F.col("internet_service") == "No") & addon_bad, "internet_addons_inconsistent"))
+    return checks
+
+
+def rule_codes() -> list[Column]:
+    """Each check as a code (string) when broken, else null."""
+    return [F.when(cond, F.lit(code)) for cond, code in rule_checks()]
 
 
 def error_codes() -> Column:
     """Array of the codes a row breaks (empty = valid)."""
     return F.array_compact(F.array(*rule_codes()))
+
+
+def breaks_any_rule() -> Column:
+    """True when at least one rule is broken (a null condition is not a break) - the
+    cheap test for the valid path: no per-row array is built."""
+    out = F.lit(False)
+    for cond, _ in rule_checks():
+        out = out | F.coalesce(cond, F.lit(False))
+    return out

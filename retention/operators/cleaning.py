@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validation import coerce_column, error_codes, impute_total_charges
+from ..functions.validation import breaks_any_rule, coerce_column, error_codes, impute_total_charges
 from ..schema import RECORD_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -81,26 +81,30 @@ def filter_results(df: DataFrame, predictions=None, risk_levels=None) -> DataFra
     return df.filter(cond)
 
 
-def with_errors(df: DataFrame) -> DataFrame:
-    """All rows with an ``errors`` array of rule codes (empty for valid rows)."""
+def _with_required(df: DataFrame) -> DataFrame:
+    """A missing required column fails every row; keep the rows and say why."""
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns and c != "churn"]
     if missing:
-        # a missing required column fails every row; keep the rows and say why
         df = df.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
-    return df.withColumn("errors", error_codes())
+    return df
+
+
+def with_errors(df: DataFrame) -> DataFrame:
+    """All rows with an ``errors`` array of rule codes (empty for valid rows)."""
+    return _with_required(df).withColumn("errors", error_codes())
 
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V1: split into (valid rows, quarantined rows).
 
-    Both sides come from one tagged projection; callers that consume both should
-    ``persist`` the input so the source is scanned once.  Quarantined rows keep their
-    columns plus ``error`` (codes joined by ',').
-    """
-    tagged = with_errors(df)
-    ok = tagged.filter(F.size("errors") == 0).drop("errors")
-    bad = tagged.filter(F.size("errors") > 0).withColumn("error", F.array_join("errors", ",")).drop("errors")
-    return ok, bad
+    The valid side is a plain predicate (no rule fires), so the common path builds no
+    per-row array; only quarantined rows get ``error`` (their codes joined by ',').
+    Callers that consume both sides of a large input should ``persist`` it first."""
+    full = _with_required(df)
+    broken = breaks_any_rule()
+    ok = full.filter(~broken).select(*df.columns)
+    bad = full.filter(broken).withColumn("error", F.array_join(error_codes(), ","))
+    return ok, bad.select(*df.columns, "error")
 
 
 def require_not_empty(df: DataFrame) -> DataFrame:
