@@ -206,3 +206,13 @@ def q_pipeline_report(spark, sf_dir):
     processed = cleaning.find_all(cleaning.impute(data))
     validation = model.validate_metrics(metrics)
     return analytics.pipeline_report(data, processed, metrics, validation)
+
+
+@register("score_single")
+def q_score_single(spark, sf_dir):
+    """C2 on a one-row frame: look up one subscriber by id (P4) and score it."""
+    from .q_cleaning import LOOKUP_ID
+
+    one = cleaning.find_by_id(clean_subscribers(spark, sf_dir), LOOKUP_ID)
+    scored, _ = scoring.score_batch(one, deployed(spark, sf_dir))
+    return scored.drop("prediction_timestamp")

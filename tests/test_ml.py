@@ -85,3 +85,12 @@ def test_stream_restart_scores_only_new_files(spark, trained):
     assert n1 == ok_first.count()
     assert s2.count() == ok_all.count()
     assert s2.select("customer_id").distinct().count() == s2.count()
+
+
+def test_score_without_analysis(spark, trained):
+    df, (m, _) = trained
+    scored, errors = scoring.score_batch(df, m, include_analysis=False)
+    r = scored.first()
+    assert r.risk_score is None and r.customer_segment is None and r.lifetime_value is None
+    assert r.risk_level in ("Low", "Medium", "High", "Critical") and 0.0 <= r.probability_churn <= 1.0
+    assert scored.count() + errors.count() == df.count()
