@@ -16,7 +16,7 @@ from ..sources import readers, writers
 from ..streaming.score_stream import score_directory_once
 from .catalog import register
 from ..fixtures import clean_subscribers
-from .sql_fragments import SCORED_CTES, with_subs
+from .sql_fragments import SCORED_CTES, errors_sql, with_subs
 
 COLS = ", ".join(REQUIRED_COLUMNS)
 _MODELS: dict[tuple[str, str], tuple[object, object]] = {}
@@ -86,11 +86,20 @@ def q_upload_defaults(spark, sf_dir):
                       F.col("customer_id").startswith("AUTO_").alias("auto_id"))
 
 
-@register("missing_source_is_empty", oracle="SELECT COUNT(*) AS n FROM (SELECT 1 WHERE false) x")
+@register(
+    "missing_source_is_empty",
+    oracle=with_subs("SELECT CAST(0 AS BIGINT) AS missing_rows, CAST(COUNT(*) AS BIGINT) AS present_rows FROM subs"),
+)
 def q_missing_source(spark, sf_dir):
-    """A missing subscriber file reads as an empty table (repository behaviour)."""
-    path = os.path.join(sf_dir, "no_such_subscribers.csv")
-    return readers.read_subscribers(spark, path, "csv").agg(F.count(F.lit(1)).alias("n"))
+    """A missing subscriber file reads as an empty table (repository behaviour),
+    next to the same read of a present file written from the subscriber table."""
+    present = scratch_path(spark, "subscribers_present")
+    writers.write_subscribers(fixtures.subscribers(spark, sf_dir), present, fmt="csv")
+    missing = readers.read_subscribers(spark, os.path.join(present, "no_such_subscribers.csv"), "csv")
+    found = readers.read_subscribers(spark, present, "csv", missing_ok=False)
+    return missing.agg(F.count(F.lit(1)).alias("missing_rows")).select(
+        "missing_rows", found.select(F.count(F.lit(1))).scalar().alias("present_rows")
+    )
 
 
 @register(
@@ -154,7 +163,12 @@ def q_score_batch(spark, sf_dir):
     return scored.drop("prediction_timestamp")
 
 
-@register("score_errors")
+@register(
+    "score_errors",
+    oracle=with_subs(
+        f"SELECT customer_id, error FROM (SELECT customer_id, {errors_sql()} AS error FROM subs) e WHERE error <> ''"
+    ),
+)
 def q_score_errors(spark, sf_dir):
     """Rows quarantined by validation in a scoring batch."""
     m, _ = trained(spark, sf_dir)
