@@ -126,12 +126,6 @@ def drift_pair(spark: SparkSession, sf_dir: str, shift_monthly: float = 0.0):
     return cur, ref
 
 
-DRIFT_PAIR_SQL = """
-cur AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 0),
-ref AS (SELECT * FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 1)
-"""
-
-
 def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored-table stand-in for SQL-checkable scoring rules: cleaned subscribers with
     ``probability_churn`` = rule score / 100 and ``prediction`` = probability >= 0.5.

@@ -16,7 +16,6 @@ from .ordered import running_totals
 
 NUMERIC_DRIFT_COLUMNS = ["monthly_charges", "total_charges", "tenure_months"]
 CATEGORICAL_DRIFT_COLUMNS = ["gender", "partner", "dependents", "contract_type", "payment_method"]
-SEVERITY_RANK = {"NONE": 0, "LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
 PERF_METRICS = ["accuracy", "precision", "recall", "f1_score"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures
+from ..functions import rules
 from ..operators import analytics, cleaning, features
 from .catalog import register
 from .sql_fragments import FEATURES_CTE, with_subs
@@ -152,23 +153,11 @@ def q_batch_summary(spark, sf_dir):
     """Summary of a scored batch; quarantined (V1) rows counted as errors."""
     s = fixtures.rule_scored(spark, sf_dir)
     ok, bad = cleaning.validate(s)
-    ok = ok.withColumn("confidence", rules_confidence()).withColumn("risk_level", rules_level())
+    ok = ok.withColumn("confidence", rules.confidence("probability_churn")).withColumn("risk_level", rules.risk_level("probability_churn"))
     out = analytics.batch_summary(ok, bad)
     return out.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
-def rules_confidence():
-    from ..functions import rules as _r
-
-    return _r.confidence("probability_churn")
-
-
-def rules_level():
-    from ..functions import rules as _r
-
-    return _r.risk_level("probability_churn")
-
-
 @register(
     "risk_level_distribution",
     oracle=with_subs(
@@ -179,7 +168,7 @@ def rules_level():
 )
 def q_risk_distribution(spark, sf_dir):
     """Count and percent per risk level, most frequent first."""
-    s = fixtures.rule_scored(spark, sf_dir).withColumn("risk_level", rules_level())
+    s = fixtures.rule_scored(spark, sf_dir).withColumn("risk_level", rules.risk_level("probability_churn"))
     return analytics.distribution(s, "risk_level")
 
 

@@ -68,22 +68,22 @@ def q_find_by_id(spark, sf_dir):
     return cleaning.find_by_id(df, LOOKUP_ID).select(*REQUIRED_COLUMNS)
 
 
-def _rec_sql(col: str, values: list[str]) -> str:
+def _rec_sql(values: list[str]) -> str:
     return "[" + ", ".join(_q(v) for v in values) + "]"
 
 
 def _recommendations_sql() -> str:
     out = " || ".join(
         [
-            f"CASE WHEN risk_level IN ('High', 'Critical') THEN {_rec_sql('', rules.OUTREACH_ACTIONS)} ELSE [] END",
+            f"CASE WHEN risk_level IN ('High', 'Critical') THEN {_rec_sql(rules.OUTREACH_ACTIONS)} ELSE [] END",
             f"CASE WHEN probability_churn > 0.7 THEN [{_q(rules.PRIORITY_ACTION)}] ELSE [] END",
             f"CASE WHEN customer_segment = 'high_value_high_risk' THEN [{_q(rules.VIP_ACTION)}] ELSE [] END",
-            _rec_sql("", rules.GENERAL_ACTIONS),
+            _rec_sql(rules.GENERAL_ACTIONS),
         ]
     )
     return (
         f"array_to_string(CASE WHEN COALESCE(prediction, false) THEN {out} "
-        f"ELSE {_rec_sql('', rules.LOYALTY_ACTIONS)} END, '|')"
+        f"ELSE {_rec_sql(rules.LOYALTY_ACTIONS)} END, '|')"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..config import DEFAULT
-from ..operators import analytics, cleaning, evaluation, model, scoring
+from ..operators import analytics, cleaning, model, scoring
 from ..schema import REQUIRED_COLUMNS
 from ..session import scratch_path
 from ..sources import readers, writers

@@ -252,14 +252,10 @@ def _degradation_sql() -> str:
     return with_subs(_degradation_body(), IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE)
 
 
-def _metric_log_df(spark, sf_dir):
-    return fixtures.metric_log(spark, sf_dir)
-
-
 @register("performance_degradation", oracle=_degradation_sql())
 def q_performance_degradation(spark, sf_dir):
     """M6 + M7 per model over the metric log stand-in."""
-    return monitoring.performance_degradation(_metric_log_df(spark, sf_dir))
+    return monitoring.performance_degradation(fixtures.metric_log(spark, sf_dir))
 
 
 def _latest_metrics(log):
@@ -288,7 +284,7 @@ mval AS (
 )
 def q_model_validation(spark, sf_dir):
     """T9 per model: latest metrics vs the minimum thresholds."""
-    return model.validate_metrics(_latest_metrics(_metric_log_df(spark, sf_dir)), groups=["model_id"])
+    return model.validate_metrics(_latest_metrics(fixtures.metric_log(spark, sf_dir)), groups=["model_id"])
 
 
 def _alerts_sql() -> str:
@@ -324,7 +320,7 @@ def _alerts_sql() -> str:
 def q_model_alerts(spark, sf_dir):
     """M8: alert table from drift, degradation, latest metrics and validation per model
     (the formatted ``message`` text is left out of the checked columns)."""
-    log = _metric_log_df(spark, sf_dir)
+    log = fixtures.metric_log(spark, sf_dir)
     latest = _latest_metrics(log)
     validation = model.validation_summary(model.validate_metrics(latest, groups=["model_id"]), groups=["model_id"])
     out = monitoring.alerts(
