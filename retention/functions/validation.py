@@ -81,6 +81,13 @@ def error_codes() -> Column:
     return F.array_compact(F.array(*rule_codes()))
 
 
+def error_text() -> Column:
+    """The broken rules' codes joined by ',' ('' = valid).  ``concat_ws`` skips the
+    nulls of unbroken rules and stays inside whole-stage codegen (unlike the
+    higher-order ``array_compact``)."""
+    return F.concat_ws(",", *rule_codes())
+
+
 def breaks_any_rule() -> Column:
     """True when at least one rule is broken (a null condition is not a break) - the
     cheap test for the valid path: no per-row array is built."""

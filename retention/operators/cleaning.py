@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validation import breaks_any_rule, coerce_column, error_codes, impute_total_charges
+from ..functions.validation import breaks_any_rule, coerce_column, error_codes, error_text, impute_total_charges
 from ..schema import RECORD_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -103,7 +103,7 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = _with_required(df)
     broken = breaks_any_rule()
     ok = full.filter(~broken).select(*df.columns)
-    bad = full.filter(broken).withColumn("error", F.array_join(error_codes(), ","))
+    bad = full.filter(broken).withColumn("error", error_text())
     return ok, bad.select(*df.columns, "error")
 
 
