@@ -1,0 +1,47 @@
+"""Exact two-sample Kolmogorov-Smirnov p-value for small samples.
+
+Under the null hypothesis the merged order of the two samples is a uniformly random
+lattice path from (0, 0) to (n, m); D >= d exactly when the path touches a point with
+|i m - j n| >= d n m.  The probability of staying strictly inside that band is
+propagated one anti-diagonal at a time (each step picks the next value from the first
+sample with probability (n - i) / (n + m - i - j)), so values stay in [0, 1] and the
+work is O(n m) on three scalars, never on data rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+EXACT_MAX_N = 10000  # larger samples use the asymptotic distribution
+
+
+def exact_pvalue(d: float, n: int, m: int) -> float:
+    """P(D_{n,m} >= d) for the two-sided statistic."""
+    if n <= 0 or m <= 0:
+        return 1.0
+    h = int(round(d * n * m))  # D * n * m is an integer for an attained D
+    if h <= 0:
+        return 1.0
+    total = n + m
+    # prob[i] = probability of being at (i, k - i) inside the band, k = current step
+    prob = np.zeros(n + 1)
+    prob[0] = 1.0
+    i_all = np.arange(n + 1)
+    for k in range(1, total + 1):
+        i = i_all
+        j = k - i
+        new = np.zeros(n + 1)
+        # from (i-1, j): step in the first sample
+        prev_i = i - 1
+        ok = (prev_i >= 0) & (j >= 0) & (j <= m)
+        remaining = total - (k - 1)
+        take_first = np.where(ok, (n - prev_i) / remaining, 0.0)
+        new[1:] += (prob[:-1] * take_first[1:])
+        # from (i, j-1): step in the second sample
+        ok2 = (j - 1 >= 0) & (j <= m)
+        take_second = np.where(ok2, (m - (j - 1)) / remaining, 0.0)
+        new += prob * take_second
+        inside = (j >= 0) & (j <= m) & (np.abs(i * m - j * n) < h)
+        prob = np.where(inside, new, 0.0)
+    stay = float(prob[n]) if (total - n) == m else 0.0
+    return float(min(1.0, max(0.0, 1.0 - stay)))

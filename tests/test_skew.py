@@ -83,3 +83,42 @@ def test_distribution_hot_value(spark):
     df = spark.createDataFrame([(v,) for v in vals], "risk_level string").repartition(8)
     out = [(r.value, r["count"], r.percent) for r in analytics.distribution(df, "risk_level").collect()]
     assert out == [("High", 1500, 50.0), ("Low", 1000, 100.0 / 3), ("Medium", 500, 100.0 / 6)]
+
+
+def _brute_ks_p(d, n, m):
+    from itertools import combinations
+
+    h = round(d * n * m)
+    hits = total = 0
+    for firsts in combinations(range(n + m), n):
+        s = set(firsts)
+        i = j = 0
+        worst = 0
+        for k in range(n + m):
+            if k in s:
+                i += 1
+            else:
+                j += 1
+            worst = max(worst, abs(i * m - j * n))
+        total += 1
+        hits += worst >= h
+    return hits / total
+
+
+@pytest.mark.parametrize("n,m,d", [(5, 5, 0.6), (4, 6, 0.5), (6, 3, 2 / 3), (7, 5, 0.2), (5, 5, 1.0)])
+def test_exact_ks_pvalue_matches_enumeration(n, m, d):
+    from retention.functions.kstest import exact_pvalue
+
+    assert exact_pvalue(d, n, m) == pytest.approx(_brute_ks_p(d, n, m), abs=1e-12)
+
+
+def test_ks_methods_agree_on_statistic(spark):
+    a = spark.createDataFrame([(float(x),) for x in range(0, 300, 2)], "x double")
+    b = spark.createDataFrame([(float(x) + 7,) for x in range(0, 300, 3)], "x double")
+    asym = monitoring.ks_two_sample(a, b, ["x"]).first()
+    exact = monitoring.ks_two_sample(a, b, ["x"], method="auto").first()
+    assert asym.ks_statistic == exact.ks_statistic
+    from retention.functions.kstest import exact_pvalue
+
+    assert exact.ks_pvalue == pytest.approx(exact_pvalue(exact.ks_statistic, 150, 100))
+    assert abs(exact.ks_pvalue - asym.ks_pvalue) < 0.05
