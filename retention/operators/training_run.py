@@ -2,9 +2,11 @@
 workflow): quality gate -> preprocess -> train/evaluate -> validate -> promote ->
 drift against the stored reference -> metric log -> degradation -> alerts -> report.
 
-Every step is a DataFrame job; results land as parquet tables under ``out_dir`` (a
-shared folder), so a re-run after a failure starts from stored inputs, never from
-driver memory.  Scheduling, retries and e-mail delivery stay with the caller.
+Every step is a DataFrame job whose result is written as a parquet table under
+``out_dir`` (a shared folder) and read back, so later steps never depend on driver
+memory.  Tables are written once (``errorifexists``): a retry uses a fresh ``out_dir``
+and passes the stored reference, metric log and registry paths of earlier runs.
+Scheduling, retries and e-mail delivery stay with the caller.
 """
 
 from __future__ import annotations
