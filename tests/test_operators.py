@@ -184,3 +184,25 @@ def test_quality_and_validation_gates(spark):
         model.require_valid(model.validation_summary(model.validate_metrics(bad)))
     fails = {r.metric: r.passed for r in model.validate_metrics(bad).collect()}
     assert fails == {"accuracy": True, "precision": False, "recall": True}
+
+
+def test_exact_split_counts_per_class(spark):
+    from retention import fixtures
+    from retention.operators import model
+
+    df = fixtures.clean_subscribers(spark, "/root/testdata/sf0.01").filter(F.col("churn").isNotNull())
+    out = model.stratified_split(df, exact=True).groupBy("churn").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test")
+    )
+    for r in out.collect():
+        assert r.test == int(r.n * 0.2 + 0.5)
+    hashed = model.stratified_split(df).agg(F.avg(F.col("is_test").cast("double"))).first()[0]
+    assert 0.15 < hashed < 0.25
+
+
+def test_approximate_median_option(spark):
+    df = spark.range(1, 1002).select(F.col("id").cast("double").alias("probability_churn"))
+    exact = analytics.probability_stats(df).first()
+    approx = analytics.probability_stats(df, exact=False).first()
+    assert exact.median == 501.0 and abs(approx.median - 501.0) <= 1.0
+    assert exact.mean == approx.mean and exact.std == approx.std
