@@ -226,7 +226,7 @@ def probability_stats(df: DataFrame, column: str = "probability_churn", exact: b
     return base.select("mean", "median", "std", "min", "max")
 
 
-def pipeline_report(
+def run_report(
     data: DataFrame,
     processed: DataFrame,
     metrics: DataFrame,

@@ -104,7 +104,7 @@ def training_run(
     alerts = monitoring.alerts(drift, degradation, latest, summary, t).withColumn("run_id", F.lit(run_id))
     alerts.write.mode("errorifexists").parquet(_path(out_dir, "alerts"))
     out["alerts"] = spark.read.parquet(_path(out_dir, "alerts"))
-    report = analytics.pipeline_report(data, cleaning.find_all(cleaning.impute(data)), metrics, validation, t.model_version)
+    report = analytics.run_report(data, cleaning.find_all(cleaning.impute(data)), metrics, validation, t.model_version)
     report.write.mode("errorifexists").parquet(_path(out_dir, "report"))
     out["report"] = spark.read.parquet(_path(out_dir, "report"))
     return out

@@ -212,14 +212,14 @@ def q_model_registry(spark, sf_dir):
     return model.current_model(reg).select("model_version", F.col("model_path").isNotNull().alias("has_current"))
 
 
-@register("pipeline_report")
-def q_pipeline_report(spark, sf_dir):
+@register("run_report")
+def q_run_report(spark, sf_dir):
     """A10: one report row - data profile, processed rows, test metrics, validation, version."""
     m, metrics = trained(spark, sf_dir)
     data = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
     processed = cleaning.find_all(cleaning.impute(data))
     validation = model.validate_metrics(metrics)
-    return analytics.pipeline_report(data, processed, metrics, validation)
+    return analytics.run_report(data, processed, metrics, validation)
 
 
 @register("score_single")
