@@ -149,3 +149,16 @@ def test_impute_and_encoding(spark):
     assert len(enc) == 32
     assert enc["internet_service_fiber_optic"] == 1 and enc["internet_service_yes"] == 0
     assert enc["payment_method_electronic_check"] == 1 and enc["gender_male"] == 0
+
+
+def test_record_timestamps_roundtrip(spark):
+    import datetime as dt
+
+    df = frame(spark, EX1).withColumn("created_at", F.lit(dt.datetime(2024, 3, 5, 7, 8, 9, 123456))).withColumn(
+        "updated_at", F.lit(None).cast("timestamp")
+    )
+    text = cleaning.to_record(df).first()
+    assert text.created_at == "2024-03-05T07:08:09.123456" and text.updated_at is None
+    back = cleaning.from_record(cleaning.to_record(df)).first()
+    assert back.created_at == dt.datetime(2024, 3, 5, 7, 8, 9, 123456) and back.updated_at is None
+    assert back.monthly_charges == 70.35 and back.partner is True
