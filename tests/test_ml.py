@@ -94,3 +94,18 @@ def test_score_without_analysis(spark, trained):
     assert r.risk_score is None and r.customer_segment is None and r.lifetime_value is None
     assert r.risk_level in ("Low", "Medium", "High", "Critical") and 0.0 <= r.probability_churn <= 1.0
     assert scored.count() + errors.count() == df.count()
+
+
+def test_predict_scales_and_model_info(spark, trained):
+    df, (m, metrics) = trained
+    levels = {
+        scale: {r.risk_level for r in scoring.predict(df, m, scale=scale).select("risk_level").distinct().collect()}
+        for scale in ("confidence", "probability", "display")
+    }
+    assert levels["confidence"] <= {"Low", "Medium", "High", "Critical"}
+    assert levels["probability"] <= {"low", "medium", "high", "critical"}
+    assert levels["display"] <= {"Low", "Medium", "High", "Critical"}
+    info = model.model_info(spark, m, metrics).first()
+    assert info.n_features == 30 and info.model_type == "RandomForestClassifier"
+    assert info.parameters["numTrees"] == "100" and info.parameters["maxDepth"] == "10"
+    assert info.training_samples + info.test_samples == 1462
