@@ -109,3 +109,12 @@ def test_predict_scales_and_model_info(spark, trained):
     assert info.n_features == 30 and info.model_type == "RandomForestClassifier"
     assert info.parameters["numTrees"] == "100" and info.parameters["maxDepth"] == "10"
     assert info.training_samples + info.test_samples == 1462
+
+
+def test_scoring_plan_stays_in_the_jvm(trained):
+    df, (m, _) = trained
+    scored, _ = scoring.score_batch(df, m)
+    text = scored._jdf.queryExecution().executedPlan().toString()
+    for marker in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonUDF"):
+        assert marker not in text
+    assert "Exchange" not in text  # scoring is map-only: no shuffle
