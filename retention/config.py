@@ -38,6 +38,8 @@ class Thresholds:
     degradation_medium: float = 0.10
     degradation_high: float = 0.20
     min_data_points: int = 5
+    recent_window: int = 5  # newest runs compared, at most half of all
+    baseline_windows: int = 2  # baseline length, in recent windows
     trend_slope: float = 0.001
     # training-metric alerts (strict <)
     alert_accuracy: float = 0.80
@@ -49,3 +51,8 @@ class Thresholds:
 
 
 DEFAULT = Thresholds()
+# the stricter preset of a production deployment
+PRODUCTION = Thresholds(
+    min_accuracy=0.80, drift_action="stop",
+    alert_accuracy=0.85, alert_precision=0.80, alert_recall=0.75, alert_f1=0.80,
+)

@@ -130,23 +130,29 @@ def train_and_evaluate(df: DataFrame, t: Thresholds = DEFAULT, label: str = "chu
     """Split, fit on the training part, evaluate on the test part.
 
     Returns (model, metrics DataFrame with one row)."""
-    split = stratified_split(df.filter(F.col(label).isNotNull()), t.test_size, t.seed, label)
-    split = split.persist()
-    train = split.filter(~F.col("is_test")).drop("is_test")
-    test = split.filter(F.col("is_test")).drop("is_test")
-    model = train_random_forest(train, t, label)
-    scored = churn_probability(model.transform(model_input(test.dropna(subset=CATEGORICAL_FEATURES + NUMERIC_FEATURES), label)))
-    # confusion counts and AUC both read the scored test rows: score them once
-    scored = scored.select(label, "prediction", "probability_churn").persist()
-    metrics = evaluate(scored, label, "prediction", "probability_churn")
-    counts = split.agg(
-        F.count_if(~F.col("is_test")).cast("bigint").alias("training_samples"),
-        F.count_if(F.col("is_test")).cast("bigint").alias("test_samples"),
-    )
-    m = metrics.select("accuracy", "precision", "recall", "f1_score", "roc_auc").withColumn(
-        "training_samples", counts.select("training_samples").scalar()
-    ).withColumn("test_samples", counts.select("test_samples").scalar())
-    return model, m
+    split = stratified_split(df.filter(F.col(label).isNotNull()), t.test_size, t.seed, label).persist()
+    scored = None
+    try:
+        train = split.filter(~F.col("is_test")).drop("is_test")
+        test = split.filter(F.col("is_test")).drop("is_test")
+        model = train_random_forest(train, t, label)
+        scored = churn_probability(model.transform(model_input(test.dropna(subset=CATEGORICAL_FEATURES + NUMERIC_FEATURES), label)))
+        # confusion counts and AUC both read the scored test rows: score them once
+        scored = scored.select(label, "prediction", "probability_churn").persist()
+        metrics = evaluate(scored, label, "prediction", "probability_churn")
+        counts = split.agg(
+            F.count_if(~F.col("is_test")).cast("bigint").alias("training_samples"),
+            F.count_if(F.col("is_test")).cast("bigint").alias("test_samples"),
+        )
+        m = metrics.select("accuracy", "precision", "recall", "f1_score", "roc_auc").withColumn(
+            "training_samples", counts.select("training_samples").scalar()
+        ).withColumn("test_samples", counts.select("test_samples").scalar())
+        row = m.first()  # the one metrics row, so that nothing stays persisted behind it
+        return model, df.sparkSession.createDataFrame([row], m.schema)
+    finally:
+        split.unpersist()
+        if scored is not None:
+            scored.unpersist()
 
 
 def feature_names(model: PipelineModel) -> list[str]:

@@ -38,17 +38,13 @@ def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_two_sample(cur: DataFrame, ref: DataFrame, columns: list[str], method: str = "asymp") -> DataFrame:
+def ks_two_sample(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFrame:
     """M2: KS statistic D = max |F_cur - F_ref| and its p-value per column.
 
     Values are counted per distinct value (partial aggregation absorbs hot values), then
     empirical CDFs come from distributed running totals in value order.  A column empty
     on either side gives D = 0, p = 1.
-
-    ``method``: ``asymp`` (default; the Kolmogorov series, a Column expression),
-    ``exact`` (lattice-path probability), or ``auto`` (exact when both samples have at
-    most 10,000 values, as common statistics libraries do).  The exact p-value is
-    computed from the three scalars (D, n, m) per column, never from data rows."""
+    The p-value is the asymptotic Kolmogorov series at every sample size."""
     c = _long(cur, columns, "double").select("column", "value", F.lit(1).alias("_c"), F.lit(0).alias("_r"))
     r = _long(ref, columns, "double").select("column", "value", F.lit(0).alias("_c"), F.lit(1).alias("_r"))
     counts = (
@@ -72,23 +68,8 @@ def ks_two_sample(cur: DataFrame, ref: DataFrame, columns: list[str], method: st
         F.when(valid, kolmogorov_pvalue(F.col("_d"), F.col("_n").cast("double"), F.col("_m").cast("double")))
         .otherwise(F.lit(1.0))
         .alias("ks_pvalue"),
-        F.coalesce(F.col("_n"), F.lit(0)).alias("_n"),
-        F.coalesce(F.col("_m"), F.lit(0)).alias("_m"),
     )
-    if method == "asymp":
-        return out.drop("_n", "_m")
-    if method not in ("exact", "auto"):
-        raise ValueError(f"unknown KS method {method!r}")
-    from ..functions.kstest import EXACT_MAX_N, exact_pvalue
-
-    rows = []
-    for r in out.collect():  # one row per tested column
-        n, m = int(r["_n"]), int(r["_m"])
-        p = r["ks_pvalue"]
-        if n > 0 and m > 0 and (method == "exact" or max(n, m) <= EXACT_MAX_N):
-            p = exact_pvalue(r["ks_statistic"], n, m)
-        rows.append((r["column"], float(r["ks_statistic"]), float(p)))
-    return spark.createDataFrame(rows, "column string, ks_statistic double, ks_pvalue double")
+    return out
 
 
 def _sides(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFrame:
@@ -126,11 +107,10 @@ def _moments(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_drift(
     cur: DataFrame, ref: DataFrame, columns: list[str] | None = None, t: Thresholds = DEFAULT,
-    ks_method: str = "asymp",
 ) -> DataFrame:
     """M1: mean shift in reference standard deviations, KS test, and severity per column."""
     cols = [c for c in (columns or NUMERIC_DRIFT_COLUMNS) if c in cur.columns and c in ref.columns]
-    ks = ks_two_sample(cur, ref, cols, ks_method)
+    ks = ks_two_sample(cur, ref, cols)
     j = _moments(cur, ref, cols).join(ks, "column")
     diff = F.abs(F.col("current_mean") - F.col("reference_mean"))
     std_diff = F.when(F.col("reference_std") > 0, diff / F.col("reference_std")).otherwise(F.lit(0.0))
@@ -257,16 +237,16 @@ def performance_degradation(log: DataFrame, t: Thresholds = DEFAULT) -> DataFram
     """M6 + M7 per model: recent window vs the baseline before it, worst relative drop,
     severity, and the accuracy trend of the recent window.
 
-    Only the newest ``3 * 5`` rows per model matter; ``row_number() <= 15`` lets Spark
-    keep a per-partition top-15 before the shuffle, so a model with a huge log is
+    Only the newest window and the baseline before it matter; ``row_number() <= keep`` lets
+    Spark keep a per-partition top before the shuffle, so a model with a huge log is
     not gathered into one task."""
-    keep = 15
+    keep = t.recent_window * (1 + t.baseline_windows)
     newest = Window.partitionBy("model_id").orderBy(F.desc("ts"), F.desc("run_id"))
     counts = log.groupBy("model_id").agg(F.count(F.lit(1)).alias("data_points"))
     top = log.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= keep)
     j = top.join(counts, "model_id")
-    w = F.least(F.lit(5), F.floor(F.col("data_points") / 2)).cast("int")
-    bsize = F.least(F.col("data_points") - w, w * 2)
+    w = F.least(F.lit(t.recent_window), F.floor(F.col("data_points") / 2)).cast("int")
+    bsize = F.least(F.col("data_points") - w, w * t.baseline_windows)
     j = j.withColumn("window_size", w).withColumn("_bsize", bsize)
     is_recent = F.col("rn") <= F.col("window_size")
     is_base = (F.col("rn") > F.col("window_size")) & (F.col("rn") <= F.col("window_size") + F.col("_bsize"))

@@ -1,10 +1,11 @@
 """Distributed running totals in a global order.
 
 A running sum over a whole table (``Window.orderBy`` without ``partitionBy``) moves every
-row into one task.  Here the table is range-partitioned on the order key instead; each
-range partition computes its local running sum, a tiny table of per-partition totals
-(one row per partition and group) gives each partition its starting offset, and the
-offset is broadcast back.  Work and memory per task stay bounded by the partition size.
+row into one task.  Here the order is cut into ranges whose bounds are computed once, as
+values: the quantiles of a hash sample of the order key.  A row's range is a plain Column
+expression over those literals, so every branch of a plan assigns it alike, whatever
+columns or exchanges the branch has.  Each range computes its local running sum, and a
+table of totals per range and group gives each range its starting offset.
 
 The caller guarantees that ``(groups..., order)`` is unique - normally by aggregating to
 distinct values first, which also removes any skew from repeated values.
@@ -12,9 +13,31 @@ distinct values first, which also removes any skew from repeated values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLE_PER_RANGE = 32  # order keys sampled for each range
+MAX_RANGES = 512  # keeps the range expression small
+
+
+def range_bounds(df: DataFrame, order: str, ranges: int) -> list:
+    """At most ``ranges - 1`` ascending cut values of ``order``: the keys with the smallest hash are a
+    uniform sample of the distinct keys, of fixed size and the same on every run."""
+    keys = df.select(order).filter(F.col(order).isNotNull())
+    sample = keys.orderBy(F.xxhash64(order), order).limit(SAMPLE_PER_RANGE * ranges)
+    values = sorted({r[0] for r in sample.collect()}, key=lambda v: (v != v, v))
+    step = max(1, -(-len(values) // ranges))
+    return [v for v in values[step::step] if v == v]
+
+
+def range_of(value: Column, bounds: list, first: int = 0) -> Column:
+    """Index of the range that holds ``value``, by a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(value < F.lit(bounds[mid]), range_of(value, bounds[:mid], first)).otherwise(
+        range_of(value, bounds[mid + 1:], first + mid + 1))
+
 
 def running_totals(
     df: DataFrame,
@@ -27,27 +50,29 @@ def running_totals(
     ``total_<v>`` (group total) for every ``v`` in ``values``."""
     groups = list(groups or [])
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # An explicit partition count keeps AQE from coalescing this exchange, so the
-    # partition id below is a stable range index on every branch that reads it.
-    ranged = df.repartitionByRange(n, *groups, order).withColumn("_pid", F.spark_partition_id())
+    n = min(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    bounds = range_bounds(df, order, n)
+    place = F.when(F.col(order).isNull(), F.lit(0)).otherwise(range_of(F.col(order), bounds))  # nulls sort first
+    ranged = df.withColumn("_pid", place)
 
     part_totals = ranged.groupBy(*groups, "_pid").agg(*[F.sum(v).alias(f"_pt_{v}") for v in values])
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = part_totals.select(
-        *groups,
-        "_pid",
+        *[F.col(g).alias(f"_g_{g}") for g in groups],
+        F.col("_pid").alias("_range"),
         *[F.coalesce(F.sum(f"_pt_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
         *[F.sum(f"_pt_{v}").over(whole).alias(f"total_{v}") for v in values],
     )
 
     local = Window.partitionBy("_pid", *groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     with_local = ranged.select("*", *[F.sum(v).over(local).alias(f"_loc_{v}") for v in values])
-    # offsets has at most (partitions x groups) rows: bounded, safe to broadcast
-    joined = with_local.join(F.broadcast(offsets), on=[*groups, "_pid"], how="inner")
+    same = F.col("_pid") == F.col("_range")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    joined = with_local.join(offsets, same, "inner")
     return joined.select(
-        *[c for c in df.columns],
+        *[F.col(c) for c in df.columns],
         *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values],
         *[F.col(f"total_{v}") for v in values],
     )

@@ -40,7 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this is set by the deployment and must be shared storage; we only
     read it.  Where it is unset (tests, local runs) the context's checkpoint folder is
     used, or one folder is created once per application and registered with
-    ``setCheckpointDir`` so ``DataFrame.checkpoint()`` writes there too."""
+    ``setCheckpointDir`` so ``DataFrame.checkpoint()`` writes there too.  Off local mode a
+    machine-local folder would lose data, so an unset folder is an error there."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -49,6 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     app = sc.applicationId
     if app not in _LOCAL_ROOTS:
+        master = getattr(sc, "master", "local")
+        if sc.getCheckpointDir() is None and master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = sc.getCheckpointDir()
         if current is None:
             current = tempfile.mkdtemp(prefix="retention-ckpt-")

@@ -85,40 +85,32 @@ def test_distribution_hot_value(spark):
     assert out == [("High", 1500, 50.0), ("Low", 1000, 100.0 / 3), ("Medium", 500, 100.0 / 6)]
 
 
-def _brute_ks_p(d, n, m):
-    from itertools import combinations
-
-    h = round(d * n * m)
-    hits = total = 0
-    for firsts in combinations(range(n + m), n):
-        s = set(firsts)
-        i = j = 0
-        worst = 0
-        for k in range(n + m):
-            if k in s:
-                i += 1
-            else:
-                j += 1
-            worst = max(worst, abs(i * m - j * n))
-        total += 1
-        hits += worst >= h
-    return hits / total
-
-
-@pytest.mark.parametrize("n,m,d", [(5, 5, 0.6), (4, 6, 0.5), (6, 3, 2 / 3), (7, 5, 0.2), (5, 5, 1.0)])
-def test_exact_ks_pvalue_matches_enumeration(n, m, d):
-    from retention.functions.kstest import exact_pvalue
-
-    assert exact_pvalue(d, n, m) == pytest.approx(_brute_ks_p(d, n, m), abs=1e-12)
-
-
-def test_ks_methods_agree_on_statistic(spark):
-    a = spark.createDataFrame([(float(x),) for x in range(0, 300, 2)], "x double")
-    b = spark.createDataFrame([(float(x) + 7,) for x in range(0, 300, 3)], "x double")
-    asym = monitoring.ks_two_sample(a, b, ["x"]).first()
-    exact = monitoring.ks_two_sample(a, b, ["x"], method="auto").first()
-    assert asym.ks_statistic == exact.ks_statistic
-    from retention.functions.kstest import exact_pvalue
-
-    assert exact.ks_pvalue == pytest.approx(exact_pvalue(exact.ks_statistic, 150, 100))
-    assert abs(exact.ks_pvalue - asym.ks_pvalue) < 0.05
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_running_totals_over_many_keys(spark, reuse):
+    """Ranges are the same on every branch, whatever columns it carries and whether exchanges are reused."""
+    n = 400_000
+    wide = spark.range(n).select(
+        F.xxhash64("id").alias("k"), F.md5(F.col("id").cast("string")).alias("h"), F.repeat(F.col("id").cast("string"), 5).alias("payload"))
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        for key in ("k", "h"):
+            got = ordered.sequence_numbers(wide, key).agg(
+                F.count("payload"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).first()
+            assert tuple(got) == (n, n, 1, n)
+        base = spark.range(1000).select(F.format_string("CUST-%04d", F.col("id") + 1).alias("customer_id"), F.lit("x").alias("payload"), F.lit(0).alias("v"))
+        assert ordered.exact_median(wide.select((F.col("k") % 1_000_003).cast("double").alias("p")).distinct(), "p").first().median is not None
+        assert ordered.sequence_numbers(base, "customer_id").filter(
+            F.col("seq") != F.substring("customer_id", 6, 9).cast("long")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_shared_folder_is_required_off_local_mode():
+    from types import SimpleNamespace
+
+    from retention.session import checkpoint_root
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, applicationId="app-off-local", master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(session)
