@@ -157,37 +157,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("ordered"))  # after the grams found once
     postings = materialize(
         tokens.join(frequency, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
-        .filter(lead > 0).select("doc", "n", F.explode(F.slice("ordered", F.lit(1), lead.cast("int"))).alias("x"))
-        .select("doc", "n", F.col("x.gram").alias("gram")), "jaccard-postings")
+        .filter(lead > 0)
+        .select("doc", "n", (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), lead.cast("int"))).alias("at", "x"))
+        .select("doc", "n", (F.col("single") + F.col("at")).alias("before"), F.col("x.gram").alias("gram")), "jaccard-postings")
     segments = full.select("doc", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(fragments - 1)),
         lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.pmod(g, F.lit(fragments)) == f).alias("grams")))).alias("s")
     ).select("doc", F.col("s.fragment").alias("fragment"), F.col("s.grams").alias("grams")).filter(F.size("grams") > 0)
     segments = materialize(segments, "jaccard-segments")
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # sizes allow a link, and so do the shingles from this one on: of a linked pair, this holds at the
+    # first shingle they share, as all before it (counted by ``before``) are in one of them only
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
+        F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     # 3a. every document of a list against two centres of it
-    centre = F.struct("doc", "n")
-    mixed = F.struct(F.xxhash64("doc").alias("h"), "doc", "n")
+    centre = F.struct("doc", "n", "before")
+    mixed = F.struct(F.xxhash64("doc").alias("h"), "doc", "n", "before")
     lists = postings.groupBy("gram").agg(F.min(centre).alias("low"), F.max(mixed).alias("other"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     pairs = (
-        postings.join(lists, "gram").select("doc", "n", F.explode(F.array(
-            F.col("low"), F.struct(F.col("other.doc").alias("doc"), F.col("other.n").alias("n")))).alias("c"))
-        .filter("doc <> c.doc")
-        .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"),
-                F.when(F.col("doc") < F.col("c.doc"), F.col("n")).otherwise(F.col("c.n")).alias("na"),
-                F.when(F.col("doc") < F.col("c.doc"), F.col("c.n")).otherwise(F.col("n")).alias("nb"))
-        .filter(near).distinct()
+        postings.join(lists, "gram").select("doc", F.col("n").alias("na"), F.col("before").alias("pa"), F.explode(F.array(
+            F.col("low"), F.struct(F.col("other.doc").alias("doc"), F.col("other.n").alias("n"), F.col("other.before").alias("before")))).alias("c"))
+        .select("doc", "na", "pa", F.col("c.doc").alias("other"), F.col("c.n").alias("nb"), F.col("c.before").alias("pb"))
+        .filter((F.col("doc") != F.col("other")) & near)
+        .select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"),
+                F.when(F.col("doc") < F.col("other"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+                F.when(F.col("doc") < F.col("other"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+        .distinct()
     )
-    links = materialize(verify(pairs, segments, percent), "jaccard-links")
+    links = materialize(verify(materialize(pairs, "jaccard-pairs"), segments, percent), "jaccard-links")
     first = connected(links)
     # 3b. every pair of a list whose documents are still in different components
     placed = postings.join(first.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
     open_ = materialize(placed.join(open_lists, "gram"), "jaccard-open")
-    x = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    x = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("before").alias("pa"), F.col("component").alias("ca"))
+    y = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("before").alias("pb"), F.col("component").alias("cb"))
     rest = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb").distinct()
-    links = links.union(materialize(verify(rest.join(pairs, ["a", "b"], "left_anti"), segments, percent), "jaccard-more"))
+    links = links.union(materialize(verify(materialize(rest, "jaccard-rest"), segments, percent), "jaccard-more"))
     final = connected(links)
     by_class = classes.join(final.withColumnRenamed("id", "first"), "first", "left").select(
         "n", "k1", "k2", F.coalesce("component", "first").alias("component"))
