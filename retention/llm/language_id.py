@@ -29,6 +29,7 @@ from .subword import Words, char_table, chunks
 
 ORDERS = (4, 3, 2, 1)
 EVIDENCE = 20
+MAX_LANGS = 1000  # the most frequent labels are learned
 
 
 @functools.cache
@@ -62,7 +63,8 @@ def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
     """At most ``max_docs`` rows of each language, smallest id hash first.  A hash threshold from the
     language's count drops most rows before anything is shuffled."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * max_docs) / F.count(F.lit(1))).alias("share"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    share = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * max_docs) / F.col("n")).alias("share")))  # MAX_LANGS rows
     key = F.xxhash64("id", "lang")
     first = Window.partitionBy("lang").orderBy("key", "id", "text")
     return (
