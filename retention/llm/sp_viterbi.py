@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NEVER = float("-inf")
 _M1 = np.uint64(0x9E3779B97F4A7C15)
-MEMO, MEMO_LENGTH = 400_000, 64  # remembered stretches per Python worker, and their longest
+MEMO, MEMO_LENGTH = 200_000, 64  # remembered stretches per Python worker, and their longest
 
 
 def load(path: str = MODEL) -> dict:
