@@ -17,7 +17,7 @@ keeps the best k of those.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part;
 vectors of different lengths compare over their common components; repeated rows are separate
-candidates (a query never meets rows of its own id); fewer than k candidates give fewer rows.
+candidates (a query never meets rows of its own id) but one query; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
         .select(name, F.col("rows.id").alias(i), F.col("rows.v").alias(v)))
     cand = pack(usable, shards, "shard", "ids", "vectors")
-    asks = pack(usable.filter("asks"), blocks, "block", "query_ids", "queries")
+    asks = pack(usable.filter("asks").dropDuplicates(["id", "v"]), blocks, "block", "query_ids", "queries")
     # each query block goes to every shard: the pairs that an exact search over all rows must visit
     work = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(cand, "shard")
     found = work.select("query_ids", "queries", "ids", "vectors").mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
