@@ -14,6 +14,7 @@ from retention.session import checkpoint_root
 # fixed by the data contract: white space is exactly these ASCII characters
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: later jobs start from
-    that table, so a lost executor never replays what came before it."""
+    that table, so a lost executor never replays what came before it, and the shuffle files of the
+    write are removed as soon as it is done."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
