@@ -180,14 +180,10 @@ def batch_summary(scored: DataFrame, errors: DataFrame | None = None) -> DataFra
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and percent per value, most frequent first.
 
-    The total is a scalar subquery (one number), not a join or a global window."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(F.col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-        .withColumn("percent", F.col("count") * F.lit(100.0) / total)
-        .orderBy(F.desc("count"), F.asc("value"))
-    )
+    The total is a scalar subquery over the counts (one number), not a join or a global window."""
+    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    total = counts.select(F.sum("count")).scalar()
+    return counts.withColumn("percent", F.col("count") * F.lit(100.0) / total).orderBy(F.desc("count"), F.asc("value"))
 
 
 def probability_histogram(df: DataFrame, column: str = "probability_churn", bins: int = 20) -> DataFrame:
@@ -236,21 +232,14 @@ def run_report(
 ) -> DataFrame:
     """A10: one report row per run.
 
-    Each input is reduced to a one-row aggregate by its own job; the report row is
-    assembled from those scalars (a run report, never the data itself).
+    One lazy plan: the data profile is a one-row aggregate, the other inputs enter as scalar subqueries.
     ``metrics`` has one row (accuracy, precision, recall, f1_score); ``validation`` has
     a boolean ``passed`` per checked metric."""
-    prof = data_quality_profile(data).first()
-    processed_n = processed.count()
-    m = metrics.select("accuracy", "precision", "recall", "f1_score").first()
-    passed = validation.agg(F.coalesce(F.bool_and("passed"), F.lit(False))).first()[0]
-    row = (
-        prof["total_samples"], prof["churn_rate"], prof["missing_values"], prof["total_samples"], processed_n,
-        ",".join(features_created), m["accuracy"], m["precision"], m["recall"], m["f1_score"], bool(passed), version,
-    )
-    return data.sparkSession.createDataFrame(
-        [row],
-        "total_samples bigint, churn_rate double, missing_values bigint, original_samples bigint, "
-        "processed_samples bigint, features_created string, accuracy double, precision double, recall double, "
-        "f1_score double, validation_passed boolean, model_version string",
+    return data_quality_profile(data).select(
+        "total_samples", "churn_rate", "missing_values", F.col("total_samples").alias("original_samples"),
+        processed.select(F.count(F.lit(1))).scalar().alias("processed_samples"),
+        F.lit(",".join(features_created)).alias("features_created"),
+        *[metrics.select(F.col(c).cast("double")).scalar().alias(c) for c in ("accuracy", "precision", "recall", "f1_score")],
+        validation.select(F.coalesce(F.bool_and("passed"), F.lit(False))).scalar().alias("validation_passed"),
+        F.lit(version).alias("model_version"),
     )

@@ -1,14 +1,15 @@
 """Keyed table maintenance (U1-U3, D17) as set operations on DataFrames.
 
-A change set is deduplicated to its latest version per key with ``max_by`` (a partial
-aggregate: a key with millions of versions costs one row per task before the shuffle).
+A change set is deduplicated to its latest version per key with ``row_number() <= 1`` (a
+group limit on the map side: a key with millions of versions costs one row per task before
+the shuffle).
 Base rows are replaced with a left-anti join plus union; the small side of each join
 is left to the planner's size statistics (AQE can switch to a broadcast at run time).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import sequence_numbers
@@ -40,8 +41,8 @@ def assign_new_ids(existing: DataFrame, rows: DataFrame, order_col: str, key: st
 def latest_per_key(changes: DataFrame, order_col: str, key: str = "customer_id") -> DataFrame:
     """The newest version of each key (ties broken by the whole row, deterministically)."""
     cols = [c for c in changes.columns if c != key]
-    picked = changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order_col, *cols)).alias("_v"))
-    return picked.select(key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+    newest = Window.partitionBy(key).orderBy(F.desc(order_col), *[F.desc(c) for c in cols if c != order_col])
+    return changes.withColumn("_rn", F.row_number().over(newest)).filter("_rn <= 1").select(key, *cols)
 
 
 def _align(base: DataFrame, latest: DataFrame, key: str) -> DataFrame:
@@ -55,12 +56,15 @@ def _align(base: DataFrame, latest: DataFrame, key: str) -> DataFrame:
     return joined.select(*base.columns)
 
 
+def _replace(base: DataFrame, latest: DataFrame, key: str) -> DataFrame:
+    kept = base.join(latest.select(key), key, "left_anti")
+    return kept.unionByName(_align(base, latest, key))
+
+
 def upsert(base: DataFrame, changes: DataFrame, order_col: str, key: str = "customer_id") -> DataFrame:
     """Replace rows by key or append them; null keys get new ids first."""
     keyed = assign_new_ids(base.select(key).unionByName(changes.select(key)), changes, order_col, key)
-    latest = latest_per_key(keyed, order_col, key)
-    kept = base.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(_align(base, latest, key))
+    return _replace(base, latest_per_key(keyed, order_col, key), key)
 
 
 def update_existing(base: DataFrame, changes: DataFrame, order_col: str, key: str = "customer_id"):
@@ -69,7 +73,7 @@ def update_existing(base: DataFrame, changes: DataFrame, order_col: str, key: st
     Returns (table, not_found) where ``not_found`` lists change keys with no base row."""
     known = changes.filter(F.col(key).isNotNull()).join(base.select(key), key, "left_semi")
     not_found = changes.join(base.select(key), key, "left_anti").select(key).distinct()
-    return upsert(base, known, order_col, key), not_found
+    return _replace(base, latest_per_key(known, order_col, key), key), not_found
 
 
 def delete(base: DataFrame, ids: DataFrame, key: str = "customer_id"):

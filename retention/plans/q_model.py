@@ -104,13 +104,11 @@ def q_missing_source(spark, sf_dir):
 
 @register(
     "reference_snapshot",
-    oracle=with_subs(
-        f"SELECT {COLS} FROM subs WHERE CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 2 = 0"
-    ),
+    oracle=with_subs(f"SELECT {COLS} FROM subs"),
 )
 def q_reference(spark, sf_dir):
     """The first run stores the current table as the drift reference."""
-    cur, _ = fixtures.drift_pair(spark, sf_dir)
+    cur = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
     ref, created = writers.create_or_load_reference(spark, cur, scratch_path(spark, "reference"))
     assert created
     return ref.select(*REQUIRED_COLUMNS)

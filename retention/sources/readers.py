@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,23 @@ def read_with_defaults(df: DataFrame, id_prefix: str = "AUTO_") -> DataFrame:
     return out
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with the fixed all-text subscriber schema (no header inference)."""
-    return spark.read.option("header", True).schema(RAW_SCHEMA).csv(path)
+def read_by_header(spark: SparkSession, lines: DataFrame, id_prefix: str = "AUTO_") -> DataFrame:
+    """S2 + P1 + S3 for CSV files whose columns differ: each file is read by its own header, so
+    columns may stand in any order and absent ones get their defaults.
+
+    ``lines`` has the text lines of the files: value, file_path, file_block_start.  The files are
+    grouped by header line (one row per file on the driver); each layout is read by name."""
+    first = (
+        lines.filter("file_block_start = 0").withColumn("_at", F.monotonically_increasing_id())
+        .groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
+    )
+    layouts = first.groupBy("header").agg(F.collect_list("file_path").alias("files")).orderBy("header").collect()
+    out = coerce_types(spark.createDataFrame([], RAW_SCHEMA))
+    for k, layout in enumerate(layouts):
+        files = [unquote(f) for f in layout["files"]]
+        rows = coerce_types(normalize_columns(spark.read.option("header", True).csv(files)))
+        rows = read_with_defaults(rows, f"{id_prefix}{k}_")
+        if "churn" not in rows.columns:
+            rows = rows.withColumn("churn", F.lit(None).cast("boolean"))
+        out = out.unionByName(rows.select(*RAW_SCHEMA.names))
+    return out

@@ -3,7 +3,8 @@
 The stream is stateless (no watermark needed).  Each micro-batch is scored with the
 same functions as the batch path and written under ``<out>/scored/epoch=<id>`` and
 ``<out>/errors/epoch=<id>`` with overwrite, so a retried epoch replaces its own output
-and the checkpoint gives each file to exactly one committed epoch.
+and the checkpoint gives each file to exactly one committed epoch.  Every file is read by its
+own header: columns in any order, absent ones filled with the upload defaults.
 """
 
 from __future__ import annotations
@@ -13,34 +14,29 @@ import os
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import coerce_types, normalize_columns
 from ..operators.scoring import score_batch
-from ..schema import RAW_SCHEMA
-from ..sources.readers import read_with_defaults
+from ..sources.readers import read_by_header
 
 
 def start_scoring_stream(
     spark: SparkSession, input_dir: str, model: PipelineModel, output_dir: str, checkpoint_dir: str,
-    available_now: bool = True, processing_time: str | None = None, max_files_per_trigger: int | None = None,
+    available_now: bool = True, processing_time: str | None = None, max_files_per_trigger: int = 1000,
 ):
     """Start the stream; returns the ``StreamingQuery``."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("header", True)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(input_dir)
-    typed = coerce_types(normalize_columns(raw))
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = reader.text(input_dir).select("value", "_metadata.file_path", "_metadata.file_block_start")
 
-    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+    def write_epoch(lines: DataFrame, epoch_id: int) -> None:
         # both outputs read the micro-batch (bounded by the trigger): parse the files once
-        batch = batch.persist()
+        batch = read_by_header(lines.sparkSession, lines, f"AUTO_{epoch_id}_").persist()
         try:
-            scored, errors = score_batch(read_with_defaults(batch), model)
+            scored, errors = score_batch(batch, model)
             scored.write.mode("overwrite").parquet(os.path.join(output_dir, "scored", f"epoch={epoch_id}"))
             errors.write.mode("overwrite").parquet(os.path.join(output_dir, "errors", f"epoch={epoch_id}"))
         finally:
             batch.unpersist()
 
-    w = typed.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
+    w = lines.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:

@@ -57,6 +57,35 @@ def test_save_load_and_stream_equal_batch(spark, trained):
     assert errors.count() == s_err.count()
 
 
+def test_stream_reads_columns_by_name(spark, trained):
+    """Files with other column orders, an absent column or no id are read by their own headers."""
+    df, (m, _) = trained
+    inbox = scratch_path(spark, "inbox")
+    a, b = df.filter(F.col("tenure_months") < 40), df.filter(F.col("tenure_months") >= 40)
+    a.select(*reversed(df.columns)).write.option("header", True).csv(inbox)
+    b.drop("paperless_billing", "churn").write.mode("append").option("header", True).csv(inbox)
+    b.drop("customer_id").write.mode("append").option("header", True).csv(inbox)
+    got, errors = score_directory_once(spark, inbox, m, scratch_path(spark, "out"), scratch_path(spark, "ckpt"))
+    cols = ["customer_id", "prediction", "probability_churn", "risk_score", "lifetime_value"]
+    named = a.unionByName(b.withColumn("paperless_billing", F.lit(False)))
+    want, bad = scoring.score_batch(named, m)
+    auto = F.col("customer_id").startswith("AUTO_")
+    assert sorted(map(tuple, got.filter(~auto).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    ids = got.filter(auto).select("customer_id")
+    assert ids.count() == ids.distinct().count() == scoring.score_batch(b, m)[0].count()
+    assert errors.count() == bad.count() + scoring.score_batch(b, m)[1].count()
+
+
+def test_failed_model_is_not_registered(spark):
+    entry = spark.createDataFrame(
+        [("m1", "1", True, 1), ("m2", "2", False, 2)], "model_path string, model_version string, passed boolean, ts long")
+    first = scratch_path(spark, "registry")
+    assert model.current_model(model.promote(spark, None, entry, first)).first()["model_path"] == "m1"
+    later = spark.createDataFrame([("m3", "3", False, 3)], entry.schema)
+    reg = model.promote(spark, first, later, scratch_path(spark, "registry"))
+    assert [r.model_path for r in reg.collect()] == ["m1"]
+
+
 def test_validation_and_registry(spark, trained):
     _, (m, metrics) = trained
     v = model.validate_metrics(metrics)

@@ -65,6 +65,26 @@ def test_top_rows_per_model_limited_before_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
+def test_latest_version_and_update_plans(spark):
+    from retention.operators import tables
+
+    base, changes = fixtures.change_feed(spark, SF_SMALL)
+    text = plan_text(tables.latest_per_key(changes, "change_seq"))
+    assert "WindowGroupLimit" in text and "SortAggregate" not in text
+    assert "Subquery" not in plan_text(tables.update_existing(base, changes, "change_seq")[0])  # no new ids are planned
+
+
+def test_report_is_one_lazy_plan(spark):
+    from retention.operators import analytics
+
+    data = fixtures.subscribers(spark, SF_SMALL)
+    metrics = spark.createDataFrame([(0.9, 0.8, 0.7, 0.6)], "accuracy double, precision double, recall double, f1_score double")
+    checks = spark.createDataFrame([(True,), (False,)], "passed boolean")
+    row = analytics.run_report(data, data.limit(7), metrics, checks).first()
+    assert (row.processed_samples, row.precision, row.validation_passed) == (7, 0.8, False)
+    assert row.original_samples == row.total_samples == data.count()
+
+
 def test_bucketed_base_is_not_shuffled_by_upsert(spark):
     """With the base stored bucketed by id, the anti join reads it in place (only the
     change set is shuffled), even when neither side may be broadcast."""
