@@ -245,12 +245,12 @@ def require_valid(summary: DataFrame) -> DataFrame:
 
 
 def promote(spark: SparkSession, registry_path: str | None, entry: DataFrame, out_path: str) -> DataFrame:
-    """Append the passing model entries (model_path, model_version, ts, passed, metrics...)
-    to the registry as a new snapshot; returns the written registry.  A model that failed
-    validation is not deployed: its entry stays out."""
-    reg = entry.filter("passed")
+    """Append a model entry (model_path, model_version, ts, passed, metrics...) to
+    the registry as a new snapshot; returns the written registry.  Failed models are recorded
+    too, with ``passed`` false; ``current_model`` never names one."""
+    reg = entry
     if registry_path:
-        reg = spark.read.parquet(registry_path).unionByName(reg, allowMissingColumns=True)
+        reg = spark.read.parquet(registry_path).unionByName(entry, allowMissingColumns=True)
     reg.write.mode("errorifexists").parquet(out_path)
     return spark.read.parquet(out_path)
 
