@@ -255,3 +255,88 @@ changes AS (
   SELECT * REPLACE (CAST(NULL AS VARCHAR) AS customer_id),
          CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) AS change_seq
   FROM subs WHERE churn IS NULL)"""
+
+
+def broken_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells of the subscriber view as a careless upload holds them: by key, cells are out of
+    range, outside their domain, contradictory, missing or not readable as their type."""
+    subs = subscribers(spark, sf_dir)
+    case = customer_key(F.col("customer_id")) % 12
+    text = {c: F.when(F.col(c), "Yes").otherwise("No") for c in ("senior_citizen", "partner", "dependents", "phone_service", "paperless_billing")}
+    text["tenure_months"] = F.concat(F.col("tenure_months").cast("string"), F.lit(".0"))
+    df = subs.withColumns({c: text.get(c, F.col(c).cast("string")) for c in subs.columns})
+    cells = [
+        (0, "monthly_charges", "-5"), (1, "total_charges", "-1"), (2, "tenure_months", "-3"), (3, "gender", "Other"),
+        (4, "phone_service", "no"), (4, "multiple_lines", "Yes"), (5, "internet_service", "No"), (5, "online_security", "Yes"),
+        (6, "contract_type", None), (7, "monthly_charges", "abc"), (8, "partner", "maybe"), (9, "tenure_months", "12.5"),
+        (10, "payment_method", "Cash"), (10, "contract_type", "Weekly"),
+    ]
+    for key, name, cell in cells:
+        df = df.withColumn(name, F.when(case == key, F.lit(cell).cast("string")).otherwise(F.col(name)))
+    return df
+
+
+BROKEN_CTE = """broken AS (
+  SELECT * EXCLUDE (kk) REPLACE (
+    CASE kk WHEN 0 THEN -5.0::DOUBLE WHEN 7 THEN NULL ELSE monthly_charges END AS monthly_charges,
+    CASE kk WHEN 1 THEN -1.0::DOUBLE ELSE total_charges END AS total_charges,
+    CASE kk WHEN 2 THEN -3 WHEN 9 THEN NULL ELSE tenure_months END AS tenure_months,
+    CASE kk WHEN 3 THEN 'Other' ELSE gender END AS gender,
+    CASE kk WHEN 4 THEN false ELSE phone_service END AS phone_service,
+    CASE kk WHEN 4 THEN 'Yes' ELSE multiple_lines END AS multiple_lines,
+    CASE kk WHEN 5 THEN 'No' ELSE internet_service END AS internet_service,
+    CASE kk WHEN 5 THEN 'Yes' ELSE online_security END AS online_security,
+    CASE kk WHEN 6 THEN NULL WHEN 10 THEN 'Weekly' ELSE contract_type END AS contract_type,
+    CASE kk WHEN 8 THEN NULL ELSE partner END AS partner,
+    CASE kk WHEN 10 THEN 'Cash' ELSE payment_method END AS payment_method)
+  FROM (SELECT *, CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) % 12 AS kk FROM subs) b)"""
+
+
+def mixed_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A drift pair whose current side has other shares: every contract month-to-month, a quarter
+    of the payments by electronic check, a fifth of the subscribers churned."""
+    cur, ref = drift_pair(spark, sf_dir)
+    k = customer_key(F.col("customer_id"))
+    return cur.withColumns({
+        "contract_type": F.lit("Month-to-month"),
+        "payment_method": F.when(k % 8 == 0, "Electronic check").otherwise(F.col("payment_method")),
+        "churn": F.when(k % 10 == 0, True).otherwise(F.col("churn")),
+    }), ref
+
+
+MIXED_PAIR_CTES = """subs_k AS (SELECT *, CAST(regexp_extract(customer_id, '^CUST-([0-9]+)$', 1) AS BIGINT) AS kk FROM subs),
+cur AS (SELECT * REPLACE ('Month-to-month' AS contract_type,
+    CASE WHEN kk % 8 = 0 THEN 'Electronic check' ELSE payment_method END AS payment_method,
+    CASE WHEN kk % 10 = 0 THEN true ELSE churn END AS churn) FROM subs_k WHERE kk % 2 = 0),
+ref AS (SELECT * FROM subs_k WHERE kk % 2 = 1)"""
+
+
+def metric_log_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric logs of four kinds per model of ``metric_log``: its 5 newest runs only; an accuracy
+    that never moves; newest accuracies of zero; newest runs with all metrics halved."""
+    from pyspark.sql import Window
+
+    log = metric_log(spark, sf_dir)
+    newest = Window.partitionBy("model_id").orderBy(F.desc("ts"), F.desc("run_id"))
+    log = log.withColumn("rn", F.row_number().over(newest))
+    named = lambda df, kind: df.withColumn("model_id", F.concat("model_id", F.lit(f"-{kind}"))).drop("rn")
+    metrics = ("accuracy", "precision", "recall", "f1_score")
+    return (
+        named(log.filter("rn <= 5"), "short")
+        .unionByName(named(log.withColumn("accuracy", F.lit(0.75)), "flat"))
+        .unionByName(named(log.withColumn("accuracy", F.when(F.col("rn") <= 3, 0.0).otherwise(F.col("accuracy"))), "zero"))
+        .unionByName(named(log.withColumns({m: F.when(F.col("rn") <= 5, F.col(m) / 2).otherwise(F.col(m)) for m in metrics}), "halved"))
+    )
+
+
+METRIC_LOG_CASES_CTE = """mrank AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts DESC, run_id DESC) AS nth FROM mlog),
+mcases AS (
+  SELECT * EXCLUDE (nth) REPLACE (model_id || '-short' AS model_id) FROM mrank WHERE nth <= 5
+  UNION ALL SELECT * EXCLUDE (nth) REPLACE (model_id || '-flat' AS model_id, 0.75::DOUBLE AS accuracy) FROM mrank
+  UNION ALL SELECT * EXCLUDE (nth) REPLACE (model_id || '-zero' AS model_id,
+    CASE WHEN nth <= 3 THEN 0.0::DOUBLE ELSE accuracy END AS accuracy) FROM mrank
+  UNION ALL SELECT * EXCLUDE (nth) REPLACE (model_id || '-halved' AS model_id,
+    CASE WHEN nth <= 5 THEN accuracy / 2 ELSE accuracy END AS accuracy,
+    CASE WHEN nth <= 5 THEN precision / 2 ELSE precision END AS precision,
+    CASE WHEN nth <= 5 THEN recall / 2 ELSE recall END AS recall,
+    CASE WHEN nth <= 5 THEN f1_score / 2 ELSE f1_score END AS f1_score) FROM mrank)"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions import rules
 from ..fixtures import clean_subscribers
-from ..functions.encoding import FEATURE_NAMES, FLAG_FEATURES, INDICATORS, NUMERIC_FEATURES
 from ..operators import cleaning, features
 from ..schema import REQUIRED_COLUMNS
 from .catalog import register
@@ -136,19 +135,31 @@ def q_prediction_rules(spark, sf_dir):
     return out.drop("monthly_charges")
 
 
+# the 31 slots written out, as an independent check of functions/encoding.py
+_ENCODING_SLOTS = """
+  senior_citizen AS senior_citizen, partner AS partner, dependents AS dependents, phone_service AS phone_service,
+  paperless_billing AS paperless_billing, lower(gender) = 'male' AS gender_male,
+  multiple_lines = 'No phone service' AS multiple_lines_no_phone_service, multiple_lines = 'Yes' AS multiple_lines_yes,
+  internet_service = 'Fiber optic' AS internet_service_fiber_optic, internet_service = 'Yes' AS internet_service_yes,
+  online_security = 'No internet service' AS online_security_no_internet_service, online_security = 'Yes' AS online_security_yes,
+  online_backup = 'No internet service' AS online_backup_no_internet_service, online_backup = 'Yes' AS online_backup_yes,
+  device_protection = 'No internet service' AS device_protection_no_internet_service, device_protection = 'Yes' AS device_protection_yes,
+  tech_support = 'No internet service' AS tech_support_no_internet_service, tech_support = 'Yes' AS tech_support_yes,
+  streaming_tv = 'No internet service' AS streaming_tv_no_internet_service, streaming_tv = 'Yes' AS streaming_tv_yes,
+  streaming_movies = 'No internet service' AS streaming_movies_no_internet_service, streaming_movies = 'Yes' AS streaming_movies_yes,
+  contract_type = 'One year' AS contract_type_one_year, contract_type = 'Two year' AS contract_type_two_year,
+  payment_method = 'Bank transfer (automatic)' AS payment_method_bank_transfer_automatic,
+  payment_method = 'Credit card (automatic)' AS payment_method_credit_card_automatic,
+  payment_method = 'Electronic check' AS payment_method_electronic_check,
+  payment_method = 'Mailed check' AS payment_method_mailed_check"""
+
+
 def _encoding_sql() -> str:
-    cols = []
-    for name in FEATURE_NAMES:
-        if name in FLAG_FEATURES:
-            cols.append(f"CAST(COALESCE({name}, false) AS INTEGER) AS {name}")
-        elif name in NUMERIC_FEATURES:
-            cols.append(f"CAST({name} AS DOUBLE) AS {name}")
-        elif name == "gender_male":
-            cols.append("CAST(COALESCE(lower(gender) = 'male', false) AS INTEGER) AS gender_male")
-        else:
-            src, val = INDICATORS[name]
-            cols.append(f"CAST(COALESCE({src} = {_q(val)}, false) AS INTEGER) AS {name}")
-    return "SELECT customer_id, " + ", ".join(cols) + f" FROM {IMPUTED} x"
+    return (
+        "SELECT customer_id, CAST(COALESCE(COLUMNS(* EXCLUDE (customer_id, monthly_charges, total_charges, tenure_months)), false) AS INTEGER), "
+        "monthly_charges, total_charges, CAST(tenure_months AS DOUBLE) AS tenure_months FROM (SELECT customer_id, "
+        f"monthly_charges, total_charges, tenure_months, {_ENCODING_SLOTS} FROM {IMPUTED} x) e"
+    )
 
 
 @register("feature_encoding", oracle=with_subs(_encoding_sql()))
@@ -213,3 +224,42 @@ def q_guarded_batch(spark, sf_dir):
     """V8 + V9: a batch passes the not-empty guard and the (unset) size guard."""
     df = cleaning.check_batch_size(cleaning.require_not_empty(fixtures.subscribers(spark, sf_dir)), None)
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows_accepted"))
+
+
+@register(
+    "validation_all_rules",
+    oracle=with_subs(f"SELECT customer_id, error FROM (SELECT customer_id, {_errors_sql()} AS error FROM broken) e WHERE error <> ''",
+                     fixtures.BROKEN_CTE),
+)
+def q_validation_all_rules(spark, sf_dir):
+    """P1 + V2-V7: text cells that break each kind of rule, quarantined with their codes."""
+    _, bad = cleaning.validate(cleaning.coerce_types(fixtures.broken_subscribers(spark, sf_dir)))
+    return bad.select("customer_id", "error")
+
+
+def _accepted(check) -> bool:
+    try:
+        check()
+    except (cleaning.EmptyBatchError, cleaning.BatchTooLargeError):
+        return False
+    return True
+
+
+@register(
+    "guard_limits",
+    oracle=with_subs(
+        "SELECT 'at_limit' AS guard, CAST(COUNT(*) AS BIGINT) AS max_rows, true AS accepted FROM subs "
+        "UNION ALL SELECT 'over_limit', CAST(COUNT(*) - 1 AS BIGINT), false FROM subs "
+        "UNION ALL SELECT 'no_rows', CAST(NULL AS BIGINT), false"
+    ),
+)
+def q_guard_limits(spark, sf_dir):
+    """V8 + V9: a batch at its row limit passes; one row more, or no row, is refused."""
+    subs = fixtures.subscribers(spark, sf_dir)
+    n = subs.count()
+    rows = [
+        ("at_limit", n, _accepted(lambda: cleaning.check_batch_size(subs, n))),
+        ("over_limit", n - 1, _accepted(lambda: cleaning.check_batch_size(subs, n - 1))),
+        ("no_rows", None, _accepted(lambda: cleaning.require_not_empty(subs.filter("customer_id IS NULL")))),
+    ]
+    return spark.createDataFrame(rows, "guard string, max_rows bigint, accepted boolean")

@@ -114,6 +114,17 @@ def q_reference(spark, sf_dir):
     return ref.select(*REQUIRED_COLUMNS)
 
 
+@register("reference_reload", oracle=with_subs(f"SELECT {COLS} FROM subs"))
+def q_reference_reload(spark, sf_dir):
+    """A later run with other data gets the reference that the first run stored."""
+    cur = cleaning.coerce_types(fixtures.subscribers(spark, sf_dir))
+    path = scratch_path(spark, "reference_kept")
+    writers.create_or_load_reference(spark, cur, path)
+    ref, created = writers.create_or_load_reference(spark, cleaning.find_churned(cur), path)
+    assert not created
+    return ref.select(*REQUIRED_COLUMNS)
+
+
 @register(
     "results_csv_export",
     oracle=with_subs(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..config import DEFAULT
+from ..config import DEFAULT, PRODUCTION, Thresholds
 from ..operators import cleaning, model, monitoring
+from ..session import scratch_path
 from ..sources import writers
 from .catalog import register
 from .sql_fragments import IMPUTED_FEATURES_CTE, with_subs
 
 SHIFT = 60.0
+HIGH_SHIFT = 100.0  # over 3 standard deviations
 NUM_COLS = monitoring.NUMERIC_DRIFT_COLUMNS
 CAT_COLS = monitoring.CATEGORICAL_DRIFT_COLUMNS
 
@@ -208,7 +210,7 @@ def q_metric_log(spark, sf_dir):
     return log.select("model_id", "run_id", "accuracy", "precision", "recall", "f1_score", "model_version")
 
 
-def _degradation_body() -> str:
+def _degradation_body(log: str = "mlog") -> str:
     metrics = ["accuracy", "precision", "recall", "f1_score"]
     avgs = []
     for m in metrics:
@@ -241,7 +243,7 @@ FROM (
                       LEAST(data_points - CAST(LEAST(5, FLOOR(data_points / 2)) AS INTEGER),
                             2 * CAST(LEAST(5, FLOOR(data_points / 2)) AS INTEGER)) AS bs
             FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts DESC, run_id DESC) AS rn,
-                            COUNT(*) OVER (PARTITION BY model_id) AS data_points FROM mlog) a
+                            COUNT(*) OVER (PARTITION BY model_id) AS data_points FROM {log}) a
           ) b WHERE rn <= 15 AND data_points >= 5) c) d
       GROUP BY model_id, data_points, w) e) f) g
 """
@@ -327,3 +329,139 @@ def q_model_alerts(spark, sf_dir):
         _drift_summary_df(spark, sf_dir), monitoring.performance_degradation(log), latest, validation, DEFAULT
     )
     return out.select("model_id", "type", "severity", "metric", "value", "threshold")
+
+
+def _mixed(spark, sf_dir):
+    cur, ref = fixtures.mixed_pair(spark, sf_dir)
+    return cleaning.coerce_types(cur), cleaning.coerce_types(ref)
+
+
+@register(
+    "categorical_drift_mixed",
+    oracle=with_subs(
+        f'SELECT "column", round(total_variation_distance, 9) AS total_variation_distance, drift_detected, severity FROM ({CATEGORICAL_BODY}) c',
+        fixtures.MIXED_PAIR_CTES + ",\n" + _categorical_ctes()),
+)
+def q_categorical_drift_mixed(spark, sf_dir):
+    """M3 where categories did drift (one column strongly, one slightly); the distance, a sum of
+    doubles in no fixed order, is rounded to 9 places."""
+    found = monitoring.categorical_drift(*_mixed(spark, sf_dir), report_all=True)
+    return found.withColumn("total_variation_distance", F.round("total_variation_distance", 9))
+
+
+@register("label_drift_mixed", oracle=with_subs(LABEL_BODY, fixtures.MIXED_PAIR_CTES))
+def q_label_drift_mixed(spark, sf_dir):
+    """M4 where the churn share did drift."""
+    return monitoring.label_drift(*_mixed(spark, sf_dir))
+
+
+@register(
+    "drift_stop",
+    oracle=with_subs(
+        "SELECT drift_detected, severity, CASE WHEN drift_detected AND severity IN ('HIGH', 'CRITICAL') THEN 'stop' "
+        "WHEN drift_detected THEN 'warn' ELSE 'none' END AS action, "
+        "drift_detected AND severity IN ('HIGH', 'CRITICAL') AS stopped FROM dsum",
+        _drift_summary_ctes(HIGH_SHIFT),
+    ),
+)
+def q_drift_stop(spark, sf_dir):
+    """M5 with the production preset: high drift stops the run."""
+    cur, ref = _pair(spark, sf_dir, HIGH_SHIFT)
+    summary = monitoring.drift_summary(
+        monitoring.numeric_drift(cur, ref), monitoring.label_drift(cur, ref), monitoring.categorical_drift(cur, ref), PRODUCTION
+    )
+    try:
+        monitoring.enforce_drift_action(summary, PRODUCTION)
+        stopped = False
+    except monitoring.DriftStop:
+        stopped = True
+    return summary.withColumn("stopped", F.lit(stopped))
+
+
+@register(
+    "degradation_cases",
+    oracle=with_subs(
+        _degradation_body("mcases"),
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE + ",\n" + fixtures.METRIC_LOG_CASES_CTE),
+)
+def q_degradation_cases(spark, sf_dir):
+    """M6 + M7 over short, flat, zero and halved metric logs."""
+    return monitoring.performance_degradation(fixtures.metric_log_cases(spark, sf_dir))
+
+
+@register(
+    "metric_log_append",
+    oracle=with_subs(
+        """
+SELECT model_id, run_id, accuracy, precision, recall, f1_score, model_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts DESC, run_id DESC) AS rn FROM mlog) x
+WHERE rn <= 50""",
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE,
+    ),
+)
+def q_metric_log_append(spark, sf_dir):
+    """The runs up to 1995 stored first, the later ones appended to them; newest 50 kept."""
+    log = fixtures.metric_log(spark, sf_dir)
+    early = F.col("ts") < F.lit("1996-01-01").cast("timestamp")
+    path = scratch_path(spark, "metrics_first")
+    writers.append_metrics(spark, None, log.filter(early), path)
+    out = writers.append_metrics(spark, path, log.filter(~early))
+    return out.select("model_id", "run_id", "accuracy", "precision", "recall", "f1_score", "model_version")
+
+
+GATE = Thresholds(min_accuracy=0.75, min_precision=0.30, min_recall=0.65)
+
+
+@register(
+    "registry_gate",
+    oracle=with_subs(
+        """
+SELECT COUNT(*) AS registered, COUNT(*) FILTER (WHERE passed) AS passing,
+       strftime(MAX(ts) FILTER (WHERE passed), '%Y%m') AS current_version FROM (
+  SELECT ts, AVG(accuracy) >= 0.75 AND AVG(precision) >= 0.30 AND AVG(recall) >= 0.65 AS passed FROM mlog GROUP BY ts) m""",
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE,
+    ),
+)
+def q_registry_gate(spark, sf_dir):
+    """T9 + T10: a model version per month of the log is validated and registered, in two
+    promotions; the newest passing version is current, whatever failed after it."""
+    months = fixtures.metric_log(spark, sf_dir).groupBy("ts").agg(*[F.avg(m).alias(m) for m in ("accuracy", "precision", "recall", "f1_score")])
+    verdict = model.validation_summary(model.validate_metrics(months, GATE, groups=["ts"]), groups=["ts"])
+    version = F.date_format("ts", "yyyyMM")
+    entries = months.join(verdict.select("ts", "passed"), "ts").select(
+        F.concat(F.lit("models/"), version).alias("model_path"), version.alias("model_version"), "ts", "passed",
+        "accuracy", "precision", "recall", "f1_score")
+    early = F.col("ts") < F.lit("1996-01-01").cast("timestamp")
+    path = scratch_path(spark, "registry_first")
+    model.promote(spark, None, entries.filter(early), path)
+    registry = model.promote(spark, path, entries.filter(~early), scratch_path(spark, "registry_second"))
+    counts = registry.agg(F.count(F.lit(1)).alias("registered"), F.count_if("passed").alias("passing"))
+    return counts.withColumn("current_version", model.current_model(registry).select("model_version").scalar())
+
+
+@register(
+    "alert_details",
+    oracle=with_subs(
+        """
+SELECT CAST(NULL AS VARCHAR) AS model_id, 'DATA_DRIFT' AS type,
+       'Data drift detected in training data (Severity: ' || severity || ')' AS text FROM dsum WHERE drift_detected
+UNION ALL SELECT model_id, 'MODEL_DEGRADATION', severity || '|' || trend || '|' || CAST(data_points AS VARCHAR) FROM degr WHERE degradation_detected
+UNION ALL SELECT model_id, 'VALIDATION_FAILED', 'Model validation failed - metrics below minimum thresholds: '
+       || string_agg(metric, ',' ORDER BY metric) FROM mval WHERE NOT passed GROUP BY model_id""",
+        IMPUTED_FEATURES_CTE + ",\n" + fixtures.METRIC_LOG_CTE + ",\n" + LATEST_CTE + ",\n" + _drift_summary_ctes()
+        + f",\ndegr AS ({_degradation_body()})",
+    ),
+)
+def q_alert_details(spark, sf_dir):
+    """M8: message and details of the drift, degradation and validation alerts."""
+    log = fixtures.metric_log(spark, sf_dir)
+    latest = _latest_metrics(log)
+    validation = model.validation_summary(model.validate_metrics(latest, groups=["model_id"]), groups=["model_id"])
+    out = monitoring.alerts(_drift_summary_df(spark, sf_dir), monitoring.performance_degradation(log), None, validation, DEFAULT)
+    d = F.col("details")
+    text = (
+        F.when(F.col("type") == "MODEL_DEGRADATION", F.concat_ws("|", d["degradation_severity"], d["trend"], d["data_points"]))
+        .when(F.col("type") == "VALIDATION_FAILED", F.concat_ws(": ", "message", F.array_join(F.array_sort(F.map_keys(d)), ",")))
+        .otherwise(F.col("message"))
+    )
+    return out.select("model_id", "type", text.alias("text"))

@@ -7,7 +7,6 @@ they are the independent check of the DataFrame implementation, not used by it.
 from __future__ import annotations
 
 from ..fixtures import RULE_SCORED_CTE, subscriber_sql_oracle
-from ..schema import ADDON_COLUMNS, ENUM_DOMAINS, INPUT_COLUMNS
 
 ADDONS = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv", "streaming_movies"]
 
@@ -91,13 +90,27 @@ def quote(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
+# written out, as an independent check of the schema
+DOMAINS = {
+    "gender": ["Male", "Female"],
+    "multiple_lines": ["Yes", "No", "No phone service"],
+    "internet_service": ["DSL", "Fiber optic", "No"],
+    **{a: ["Yes", "No", "No internet service"] for a in ADDONS},
+    "contract_type": ["Month-to-month", "One year", "Two year"],
+    "payment_method": ["Electronic check", "Mailed check", "Bank transfer (automatic)", "Credit card (automatic)"],
+}
+INPUTS = [
+    "gender", "senior_citizen", "partner", "dependents", "phone_service", "multiple_lines", "internet_service", *ADDONS,
+    "contract_type", "paperless_billing", "payment_method", "monthly_charges", "total_charges", "tenure_months",
+]
+
+
 def errors_sql() -> str:
     """The validation codes as SQL, in the same fixed order as the rules."""
     parts = []
-    for name in INPUT_COLUMNS:
-        if name != "customer_id":
-            parts.append(f"CASE WHEN {name} IS NULL THEN 'missing_{name}' END")
-    for name, dom in ENUM_DOMAINS.items():
+    for name in INPUTS:
+        parts.append(f"CASE WHEN {name} IS NULL THEN 'missing_{name}' END")
+    for name, dom in DOMAINS.items():
         parts.append(
             f"CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({', '.join(quote(v) for v in dom)}) THEN 'invalid_{name}' END"
         )
@@ -110,7 +123,7 @@ def errors_sql() -> str:
         "CASE WHEN (NOT phone_service AND multiple_lines <> 'No phone service') OR "
         "(phone_service AND multiple_lines = 'No phone service') THEN 'multiple_lines_inconsistent' END",
         "CASE WHEN internet_service = 'No' AND ("
-        + " OR ".join(f"{a} NOT IN ('No internet service', 'No')" for a in ADDON_COLUMNS)
+        + " OR ".join(f"{a} NOT IN ('No internet service', 'No')" for a in ADDONS)
         + ") THEN 'internet_addons_inconsistent' END",
     ]
     return "concat_ws(',', " + ", ".join(parts) + ")"
