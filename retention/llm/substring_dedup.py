@@ -174,11 +174,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     texts = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     paths = materialize(
         texts.mapInArrow(_paths(window, gram), "doc long, part long, at long, anchor long, content long"), "dedup-paths")
-    # compaction: minimizers with several occurrences, and whether all of them have one path
-    anchors = (
+    # compaction: minimizers with several occurrences, and whether all of them have one path; a
+    # table of their own, so that the join has two plain exchanges and a hot minimizer is split
+    anchors = materialize(
         paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("whole"))
-    )
+        .filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("whole")), "dedup-anchors")
     repeated = materialize(paths.join(anchors, "anchor"), "dedup-repeated")
     whole = repeated.filter("whole").select("doc", "part", "at", F.expr("shiftleft(1L, cast(at % 64 as int)) - 1").alias("mask"))
     branching = repeated.filter("not whole")
@@ -192,10 +192,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         texts.join(opened, ["doc", "part"]).dropDuplicates(["doc", "part"]).select("text", "opened").mapInArrow(
             _edges(window), "anchor long, content long, copies long, step int, e1 long, e2 long"), "dedup-edges")
     twice = edges.groupBy("e1", "e2").agg(F.sum("copies").alias("n")).filter("n > 1").select("e1", "e2")
-    opened_masks = (
+    opened_masks = materialize(
         edges.join(twice, ["e1", "e2"])
-        .groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask"))
-    )
+        .groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask")), "dedup-masks")
     branched = branching.join(opened_masks, ["anchor", "content"]).select("doc", "part", "at", "mask")
     verdicts = (
         whole.unionByName(branched).groupBy("doc", "part")
