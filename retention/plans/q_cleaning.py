@@ -71,18 +71,40 @@ def _rec_sql(values: list[str]) -> str:
     return "[" + ", ".join(_q(v) for v in values) + "]"
 
 
+# fixed values: the recommendation texts written out, as an independent check of functions/rules.py
+_OUTREACH = [
+    "Immediate outreach - Contact customer within 24 hours",
+    "Retention offer - Prepare personalized discount or upgrade",
+    "Personal call - Schedule call with customer success team",
+]
+_PRIORITY = "Priority intervention - This customer has very high churn probability"
+_VIP = "VIP treatment - High-value customer requiring special attention"
+_GENERAL = [
+    "Analyze usage patterns - Review customer's service usage",
+    "Survey feedback - Collect feedback on service satisfaction",
+    "Technical support - Offer proactive technical assistance",
+]
+_LOYALTY = [
+    "Continue excellent service - Maintain current service quality",
+    "Loyalty rewards - Consider loyalty program or small perks",
+    "Upselling opportunity - Customer is stable, consider service upgrades",
+    "Regular check-ins - Schedule periodic satisfaction reviews",
+    "Engagement programs - Invite to customer community or events",
+]
+
+
 def _recommendations_sql() -> str:
     out = " || ".join(
         [
-            f"CASE WHEN risk_level IN ('High', 'Critical') THEN {_rec_sql(rules.OUTREACH_ACTIONS)} ELSE [] END",
-            f"CASE WHEN probability_churn > 0.7 THEN [{_q(rules.PRIORITY_ACTION)}] ELSE [] END",
-            f"CASE WHEN customer_segment = 'high_value_high_risk' THEN [{_q(rules.VIP_ACTION)}] ELSE [] END",
-            _rec_sql(rules.GENERAL_ACTIONS),
+            f"CASE WHEN risk_level IN ('High', 'Critical') THEN {_rec_sql(_OUTREACH)} ELSE [] END",
+            f"CASE WHEN probability_churn > 0.7 THEN [{_q(_PRIORITY)}] ELSE [] END",
+            f"CASE WHEN customer_segment = 'high_value_high_risk' THEN [{_q(_VIP)}] ELSE [] END",
+            _rec_sql(_GENERAL),
         ]
     )
     return (
         f"array_to_string(CASE WHEN COALESCE(prediction, false) THEN {out} "
-        f"ELSE {_rec_sql(rules.LOYALTY_ACTIONS)} END, '|')"
+        f"ELSE {_rec_sql(_LOYALTY)} END, '|')"
     )
 
 
