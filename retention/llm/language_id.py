@@ -1,13 +1,19 @@
 """Language identification: word-first backoff.
 
-A word seen in training is scored by its per-language log frequency.  An unseen word backs off to
-the longest order of its character n-grams (4, then 3, 2, 1, word ends marked) of which any is
-known, and takes their mean.  A document's score per language is the mean over its
+A word seen in training is scored by its log frequency in each language, relative to the mean of
+its frequencies in all.  An unseen word backs off to the longest order of its character n-grams (4,
+then 3, 2, 1, word ends marked) of which any is known, and takes their mean.  A document's score per language is the mean over its
 words; the reported score is the posterior of the winner over at most ``EVIDENCE`` words' weight.
 
 Training reads a bounded, documented sample: ``max_docs`` rows of each language, smallest hash of
-the id first, whole texts.  The model keeps the ``max_entries`` most frequent words and n-grams of
-the sample, so what is shipped to the tasks has a fixed bound.  Prediction is one map-only stage.
+the id first, whole texts.  Every label is learned, and every word and n-gram of the sample is kept,
+so no language's vocabulary depends on the rows of another.  Only counts that occur are stored: what
+is shipped to the tasks grows with the sample's own vocabulary, 12 bytes a (language, entry) and 20
+an entry, not with languages times entries.  Prediction is one map-only stage.
+
+Smoothing: a language's frequencies are drawn towards the mean over all languages, with the weight of
+``PRIOR`` occurrences.  So what only one language has seen always speaks for that language, however
+few rows it has, and few rows neither earn nor cost a language anything on what it has not seen.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; a text of only
 unknown characters gets the first language with an even score; ties go to the first language in
@@ -29,7 +35,7 @@ from .subword import Words, char_table, chunks
 
 ORDERS = (4, 3, 2, 1)
 EVIDENCE = 20
-MAX_LANGS = 1000  # the most frequent labels are learned
+PRIOR = 100.0
 
 
 @functools.cache
@@ -50,7 +56,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text.lower())
         for lang, texts in by_lang.items():
-            for run in chunks(texts, 2_000_000):
+            for run in chunks(texts, 500_000):
                 words = Words(run, letters())
                 for kind in (0, *ORDERS):
                     keys, n = np.unique(words.key if kind == 0 else words.grams(kind)[1], return_counts=True)
@@ -63,40 +69,46 @@ def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
     """At most ``max_docs`` rows of each language, smallest id hash first.  A hash threshold from the
     language's count drops most rows before anything is shuffled."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    share = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * max_docs) / F.col("n")).alias("share")))  # MAX_LANGS rows
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1.5 * max_docs)
+    share = F.broadcast(counts.select("lang", (F.lit(1.5 * max_docs) / F.col("n")).alias("share")))  # only labels with that many rows
     key = F.xxhash64("id", "lang")
     first = Window.partitionBy("lang").orderBy("key", "id", "text")
     return (
-        rows.join(share, "lang").withColumn("key", key)
-        .filter(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        rows.join(share, "lang", "left").withColumn("key", key)
+        .filter(F.pmod("key", F.lit(1_000_000)) < F.coalesce("share", F.lit(1.0)) * 1_000_000)
         .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max_docs).select("lang", "text")
     )
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_docs: int = 1500, max_entries: int = 60_000) -> dict:
-    """The model: languages, and log frequencies per word and n-gram."""
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500) -> dict:
+    """The model: languages, and per kind (word or n-gram order) a sparse table of its entries: sorted
+    keys, where each one's languages begin, those languages and their scores; and each language's
+    score for an entry that it has not seen."""
     usable = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sample = training_sample(usable, id_col, text_col, lang_col, max_docs)
-    counts = (
+    found = (
         sample.mapInArrow(_count, "lang string, kind int, gram long, n long")
-        .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-        .groupBy("kind", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
-        .orderBy(F.desc("all"), "kind", "gram").limit(max_entries)
+        .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).toArrow()  # of the bounded sample
     )
-    found = counts.select("kind", "gram", "by").collect()  # at most max_entries short rows
-    langs = sorted({x["lang"] for r in found for x in r["by"]})
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    langs = sorted(names.dictionary.to_pylist())
     place = {x: i for i, x in enumerate(langs)}
+    lang_of = np.array([place[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
+    kind_of, key_of, n_of = (found.column(c).to_numpy() for c in ("kind", "gram", "n"))
     tables = {}
     for kind in (0, *ORDERS):
-        rows_of = sorted((r["gram"] % 2**64, r["by"]) for r in found if r["kind"] == kind)
-        counts_of = np.zeros((len(rows_of), len(langs)))
-        for i, (_, by) in enumerate(rows_of):
-            for x in by:
-                counts_of[i, place[x["lang"]]] = x["n"]
-        base = np.log(counts_of.sum(axis=0) + 0.5 * max(1, len(rows_of)))
-        tables[kind] = np.array([k for k, _ in rows_of], np.uint64), (np.log(counts_of + 0.5) - base).astype(np.float32)
+        mine = np.flatnonzero(kind_of == kind)
+        key, lang, n = key_of[mine].astype(np.int64).view(np.uint64), lang_of[mine], n_of[mine].astype(np.float64)
+        order = np.lexsort((lang, key))
+        key, lang, n = key[order], lang[order], n[order]
+        keys, first = np.unique(key, return_index=True)
+        starts = np.append(first, len(key)).astype(np.int64)
+        size = np.bincount(lang, n, minlength=len(langs))
+        entry = np.repeat(np.arange(len(keys)), np.diff(starts))
+        mean = np.bincount(entry, n / np.maximum(size[lang], 1), minlength=len(keys)) / max(1, len(langs))
+        unseen = np.log(PRIOR / (size + PRIOR))
+        tables[kind] = keys, starts, lang, np.log1p(n / (PRIOR * mean[entry])).astype(np.float32), unseen
     return {"langs": langs, "tables": tables}
 
 
@@ -114,10 +126,20 @@ def score_texts(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
     words = Words([t.lower() for t in texts], letters())
     if not len(words.key) or not langs:
         return ["und"] * len(texts), [0.0] * len(texts)
+    total = np.zeros(len(texts) * len(langs))
+
+    def add(kind: int, doc: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the entries ``rows`` to the scores of their documents: what each language has not seen, and
+        for those that have seen an entry what that earns."""
+        _, starts, lang, value, unseen = tables[kind]
+        many = starts[rows + 1] - starts[rows]
+        at = np.repeat(starts[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        total[:] += np.bincount(np.repeat(doc, many) * len(langs) + lang[at], value[at] * np.repeat(weight, many), minlength=len(total))
+        total[:] += np.outer(np.bincount(doc, weight, minlength=len(texts)), unseen).ravel()
+
     rows = _find(tables[0][0], words.key)
-    scores = np.zeros((len(rows), len(langs)), np.float32)
-    scores[rows >= 0] = tables[0][1][rows[rows >= 0]]
     missing = rows < 0
+    add(0, words.doc[~missing], rows[~missing], np.ones(int((~missing).sum())))
     for kind in ORDERS:  # unseen words: the longest order with a known n-gram
         if not missing.any():
             break
@@ -127,13 +149,10 @@ def score_texts(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
         at = _find(tables[kind][0], key)
         word, at = word[at >= 0], at[at >= 0]
         hits = np.bincount(word, minlength=len(rows))
-        known = missing & (hits > 0)
-        for c in range(len(langs)):
-            total = np.bincount(word, tables[kind][1][at, c], minlength=len(rows))
-            scores[known, c] = total[known] / hits[known]
-        missing &= ~known
+        add(kind, words.doc[word], at, 1.0 / hits[word])
+        missing &= hits == 0
     n = np.bincount(words.doc, minlength=len(texts))
-    mean = np.stack([np.bincount(words.doc, scores[:, c], minlength=len(texts)) for c in range(len(langs))], axis=1) / np.maximum(n, 1)[:, None]
+    mean = total.reshape(len(texts), len(langs)) / np.maximum(n, 1)[:, None]
     best = mean.argmax(axis=1)
     gap = mean - mean.max(axis=1, keepdims=True)
     posterior = 1.0 / np.exp(np.maximum(gap * np.minimum(n, EVIDENCE)[:, None], -700.0)).sum(axis=1)
@@ -143,7 +162,7 @@ def score_texts(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's max_entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary of train's bounded sample
     at = docs.columns.index(text_col)
     names = [*docs.columns, pred_col, score_col]
 
@@ -151,7 +170,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", pred_col: str
         model = shared.value
         for batch in batches:
             langs, scores = [], []
-            for run in chunks(batch.column(at).to_pylist()):
+            # a run's scores are texts x languages: with many languages its runs are shorter
+            for run in chunks(batch.column(at).to_pylist(), max(2000, 200_000 // max(1, len(model["langs"]) // 100))):
                 found = score_texts(run, model)
                 langs += found[0]
                 scores += found[1]

@@ -241,6 +241,27 @@ def test_language_id(spark, nothing):
     assert language_id.identify(nothing).count() == 0
 
 
+def test_language_id_few_rows_and_many_labels(spark):
+    """A language of two rows keeps its words beside one with a vocabulary of 70,000, and every label is learned."""
+    letters = lambda k, first: first + "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    train_ids = [d for d in range(100_000) if not held(d)]
+    test_id = next(d for d in range(100_000, 100_100) if held(d))
+    large = [" ".join(letters(k, first) for k in range(a, a + 1000)) for first in ("", "x") for a in range(0, 70_000, 1000)] * 2
+    own = " ".join(letters(k * 37, "x")[::-1] + "q" for k in range(200))
+    rows = [(d, t, "large") for d, t in zip(train_ids, large)] + [(train_ids[-1], own, "small"), (train_ids[-2], own, "small"), (test_id, own, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = language_id.train(df.filter(F.col("doc_id") != test_id))["tables"][0][0]
+    assert len(words) == len({w for _, t, _ in rows for w in t.split()})  # none is cut
+    out = language_id.identify(df)
+    assert [r["lang_pred"] for r in out.filter(F.col("doc_id") == test_id).collect()] == ["small"]
+    names = [letters(k, "") for k in range(1100)]
+    rows = [(d, f"{x} {x}", x) for d, x in zip(train_ids, names)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == sorted(names)
+    assert language_id.score_texts(names[::100], model)[0] == names[::100]
+
+
 def test_quality_classifier(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
