@@ -11,9 +11,15 @@ sets form a class, and only the smallest id of a class goes on.
    phrases that many documents share are not traversed unless a document has little else.
 3. Candidates of a posting list are first paired with two centres only, verified, and the links
    joined into components.  Then every remaining pair of a list that lies in different components is
-   verified too, so no link between components is lost and a large group is never paired in full.
-4. Verification is vertical: the order is cut into ``fragments``; each (pair, fragment) counts its
+   verified too, so no link between components is lost.
+4. Verification is vertical: the shingles are cut into ``fragments``; each (pair, fragment) counts its
    partial overlap separately, and partial counts are summed per pair before the threshold.
+5. Inside a component of three or more, all pairs are verified, so no link between different texts
+   is lost.  The component is dealt by hash into blocks of bounded size; a pair of blocks counts the
+   partial overlaps of all its pairs at once, fragment by fragment, and gives each set's links as a list.
+
+The result is the links between classes (the pairs of different sets) and the class, the number of
+links of that class, and the component of every row.
 
 Defined results: a text with fewer words than n has its whole sequence as its one shingle; empty
 and null texts have an empty set and link with nothing; repeated rows are copies; a null id takes
@@ -134,9 +140,80 @@ def verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], rows: int, columns: int, fragments: int) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``; both are (place of the set, shingle)."""
+    both = np.zeros((rows, columns), np.int64)
+    fx, fy = x[1] % np.uint64(fragments), y[1] % np.uint64(fragments)
+    for f in range(fragments):
+        (dx, gx), (dy, gy) = (x[0][fx == f], x[1][fx == f]), (y[0][fy == f], y[1][fy == f])
+        common = np.intersect1d(gx, gy)
+        for start in range(0, len(common), 8192):
+            part = common[start:start + 8192]
+            sides = []
+            for d, g, size in ((dx, gx, rows), (dy, gy, columns)):
+                at = np.minimum(np.searchsorted(part, g), len(part) - 1)
+                hit = part[at] == g
+                side = np.zeros((size, len(part)), np.float32)  # sums below 2**24 are exact
+                side[d[hit], at[hit]] = 1
+                sides.append(side)
+            both += (sides[0] @ sides[1].T).astype(np.int64)
+    return both
+
+
+def _block_links(percent: int, fragments: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The links between two blocks, or within one, from both ends: (doc, near)."""
+        block = group.column("block").to_numpy()
+        docs = group.column("doc").to_numpy()
+        grams = group.column("grams").combine_chunks()
+        grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
+        sizes = np.diff(grams.offsets.to_numpy())
+        flat = grams.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        place = np.zeros(len(docs), np.int64)
+        place[low], place[high] = np.arange(len(low)), np.arange(len(high))
+        own = [(place[owner[m]], flat[m]) for m in (np.isin(owner, low), np.isin(owner, high))]
+        both = _overlaps(*own, len(low), len(high), fragments)
+        linked = both * 100 >= percent * (sizes[low][:, None] + sizes[high][None, :] - both)
+        linked &= docs[low][:, None] != docs[high][None, :]
+        ends = [(low, high, linked)] if block.min() == block.max() else [(low, high, linked), (high, low, linked.T)]
+        doc = [int(docs[a[k]]) for a, _, m in ends for k in range(len(a)) if m[k].any()]
+        near = [docs[z[m[k]]] for a, z, m in ends for k in range(len(a)) if m[k].any()]
+        return pa.table({"doc": pa.array(doc, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))})
+
+    return run
+
+
+def within(first: DataFrame, full: DataFrame, percent: int, fragments: int, block_docs: int = 256, block_grams: int = 2**18) -> DataFrame:
+    """(doc, near): the links of every set inside its component, for components (``first``) of three sets or
+    more.  Blocks hold about ``block_docs`` sets and ``block_grams`` shingles at most, or one larger set."""
+    member = first.select(F.col("id").alias("doc"), "component")
+    groups = (
+        member.join(full.select("doc", F.size("grams").alias("n")), "doc").groupBy("component")
+        .agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).filter("docs > 2")
+        .select("component", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("grams") / block_grams)).alias("blocks"))
+    )
+    dealt = (
+        member.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("doc", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    return dealt.join(full, "doc").groupBy("component", "low", "high").applyInArrow(
+        _block_links(percent, fragments), "doc long, near array<long>")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
                fragments: int = 8) -> DataFrame:
-    """One row per document: ``doc`` (its key), n_shingles and ``component`` (the least key reached)."""
+    """The rows of ``similar``."""
+    return similar(docs, id_col, text_col, n, percent, fragments)[0]
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
+            fragments: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rows and pairs.  One row per document: ``doc`` (its key), n_shingles, ``component`` (the least key
+    reached), ``class`` (the least key with the same set) and n_links (other classes its class is linked
+    with).  One pair (``a`` < ``b``, keys of classes) for every link between different sets."""
     texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(texts.mapInArrow(_prefixes(n, percent), "doc long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
     classes = materialize(sets.groupBy("n", "k1", "k2").agg(F.min("doc").alias("first")).filter("n > 0"), "jaccard-classes")
@@ -192,12 +269,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("before").alias("pa"), F.col("component").alias("ca"))
     y = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("before").alias("pb"), F.col("component").alias("cb"))
     rest = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb").distinct()
-    links = links.union(materialize(verify(materialize(rest, "jaccard-rest"), segments, percent), "jaccard-more"))
-    final = connected(links)
-    by_class = classes.join(final.withColumnRenamed("id", "first"), "first", "left").select(
-        "n", "k1", "k2", F.coalesce("component", "first").alias("component"))
-    return sets.drop("prefix").join(by_class, ["n", "k1", "k2"], "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    cross = materialize(verify(materialize(rest, "jaccard-rest"), segments, percent), "jaccard-more")
+    final = connected(links.union(cross))
+    # 5. the links inside the components of 3a; one of two sets has just the link that made it
+    twos = first.join(first.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).filter("docs = 2"), "component", "left_semi")
+    single = links.join(twos.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b").union(cross)
+    ends = single.select(F.col("a").alias("doc"), F.array("b").alias("near")).union(single.select("b", F.array("a")))
+    linked = materialize(within(first, full, percent, fragments).union(ends), "jaccard-linked")
+    pairs = linked.select(F.col("doc").alias("a"), F.explode("near").alias("b")).filter("a < b")
+    counts = linked.groupBy("doc").agg(F.sum(F.size("near")).alias("n_links")).withColumnRenamed("doc", "first")
+    by_class = classes.join(final.withColumnRenamed("id", "first"), "first", "left").join(counts, "first", "left").select(
+        "n", "k1", "k2", "first", "n_links", F.coalesce("component", "first").alias("component"))
+    rows = sets.drop("prefix").join(by_class, ["n", "k1", "k2"], "left").select(
+        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"),
+        F.coalesce("first", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, pairs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -102,8 +102,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more, with
+    the class (equal sets) of each and how many other classes that one is linked with."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ngram_jaccard.components(docs, n=3, percent=90)
     public = lambda c: F.when(F.col(c) < ngram_jaccard.NO_ID, F.col(c))
-    return found.select(public("doc").alias("doc_id"), "n_shingles", public("component").alias("component_id"))
+    return found.select(public("doc").alias("doc_id"), "n_shingles", public("component").alias("component_id"),
+                        public("class").alias("class_id"), "n_links")

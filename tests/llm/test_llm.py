@@ -137,6 +137,44 @@ def test_ngram_jaccard(spark, docs, nothing, n, percent):
     assert ngram_jaccard.components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_ngram_jaccard_links(spark, docs, n, percent):
+    """Every link between different texts, also inside a component, and their number for every row."""
+    rnd = random.Random(11)
+    base = [f"v{k}" for k in range(160)]
+    texts = [" ".join(w if i not in gone else f"z{k}" for i, w in enumerate(base)) for k in range(60) for gone in [{rnd.randrange(160) for _ in range(k % 4)}]]
+    more = spark.createDataFrame([(2000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    all_docs = docs.filter("doc_id is not null").select("doc_id", "text").union(more)
+    sets = {}
+    for r in all_docs.collect():
+        w = WORD.findall((r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[r["doc_id"]] = frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    reps = sorted(d for s, d in first.items() if s)
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    rows, pairs = ngram_jaccard.similar(all_docs, n=n, percent=percent)
+    got = [tuple(r) for r in pairs.select("a", "b").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 200
+    for r in rows.collect():
+        c = first[sets[r["doc"]]] if sets[r["doc"]] else r["doc"]
+        assert (r["class"], r["n_links"]) == (c, sum(c in p for p in want))
+
+
+def test_ngram_jaccard_blocks(spark):
+    """Links inside a component are the same however small its blocks are."""
+    rnd = random.Random(2)
+    sets = {d: sorted(set(range(100)) - {rnd.randrange(100) for _ in range(rnd.choice([0, 3, 9]))} | {1000 + d}) for d in range(40)}
+    first = spark.createDataFrame([(d, d // 37 * 37) for d in sets], "id long, component long")
+    full = spark.createDataFrame(list(sets.items()), "doc long, grams array<long>")
+    want = {(a, b) for a in sets for b in sets if a != b and a // 37 == b // 37
+            and 100 * len({*sets[a]} & {*sets[b]}) >= 90 * len({*sets[a]} | {*sets[b]})}
+    for size in (3, 256):
+        found = ngram_jaccard.within(first, full, 90, 8, block_docs=size)
+        assert sorted(tuple(r) for r in found.select("doc", F.explode("near")).collect()) == sorted(want)
+
+
 def test_connected_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["component"] for r in ngram_jaccard.connected(links).collect()}
