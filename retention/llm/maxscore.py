@@ -135,13 +135,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     usable = usable.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     n, asked = vectors.select(F.count(F.lit(1)), F.count_if(queries)).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    # spread by hash of the whole row, so rows that share an id or a vector spread too
+    # spread by hash of id, vector and number of the copy, so rows that share an id or a vector, or both, spread too
     pack = lambda rows, parts, name, i, v: (
-        rows.groupBy(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(parts)).cast("int").alias(name))
+        rows.groupBy(F.pmod(F.xxhash64("id", "v", "copy", F.lit(17)), F.lit(parts)).cast("int").alias(name))
         .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
         .select(name, F.col("rows.id").alias(i), F.col("rows.v").alias(v)))
-    cand = pack(usable, shards, "shard", "ids", "vectors")
-    asks = pack(usable.filter("asks").dropDuplicates(["id", "v"]), blocks, "block", "query_ids", "queries")
+    # no answer holds more than k copies of a row, so k of them stand for any number
+    copies = usable.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))))
+    cand = pack(copies, shards, "shard", "ids", "vectors")
+    asks = pack(usable.filter("asks").dropDuplicates(["id", "v"]).withColumn("copy", F.lit(1).cast("long")), blocks, "block", "query_ids", "queries")
     # each query block goes to every shard: the pairs that an exact search over all rows must visit
     work = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(cand, "shard")
     found = work.select("query_ids", "queries", "ids", "vectors").mapInArrow(_pairs(k), "query_id long, vec_id long, score long")

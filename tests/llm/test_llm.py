@@ -198,6 +198,31 @@ def test_maxscore(spark):
     assert maxscore.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_maxscore_repeated_ids(spark, monkeypatch):
+    """A third of the rows share an id and another third are copies of one row: no shard outgrows the others."""
+    rnd = random.Random(8)
+    rows = [(k if k % 3 == 0 else 1, [1.0, 1.0] if k % 3 == 2 else [rnd.random(), rnd.random()]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in maxscore.top_k(df, F.col("vec_id") == 300, shard_rows=100).orderBy("rank").collect()]
+    own = [int(256 * x // 1) for x in rows[300][1]]
+    best = sorted(((-sum(a * int(256 * x // 1) for a, x in zip(own, v)), i) for i, v in rows if i != 300))[:5]
+    assert got == [(300, r + 1, i, -s) for r, (s, i) in enumerate(best)] and {i for _, i in best} == {1}
+
+    def sizes(k):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                n = pa.array([len(x) for x in b.column("ids").to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([n, n, n], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(maxscore, "_pairs", sizes)
+    largest = max(r["vec_id"] for r in maxscore.top_k(df, F.col("vec_id") == 300, shard_rows=100).collect())
+    assert largest <= 200
+
+
 def test_sentencepiece(spark, docs, nothing):
     codec = sp_viterbi.Codec(sp_viterbi.load())
     rnd = random.Random(1)
