@@ -111,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "label").limit(max_docs)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").limit(2 * max_docs)  # chosen has max_docs rows at most
+    # one text of each chosen row, the least, so a repeated id takes no other's place and reruns agree
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # chosen has max_docs rows at most
+    sample = sample.select("id", "text", "label")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*frames, pd.DataFrame({"id": [], "text": [], "label": []})])

@@ -338,6 +338,20 @@ def test_quality_classifier(spark, nothing):
     assert quality_classifier.predict(nothing, empty).count() == 0
 
 
+def test_quality_classifier_repeated_id(spark):
+    """A labelled id with many rows takes no other label's place in training."""
+    ids = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 4 != 2][:40]
+    rows = [(ids[0], f"plain words of the hot one {k % 7}") for k in range(2000)]
+    rows += [(d, "good clean sentences of prose" if k % 2 else "buy cheap pills now") for k, d in enumerate(ids) if k]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels, max_docs=40)
+    good, bad = quality_classifier.score_texts(["good clean sentences of prose", "buy cheap pills now"], *model)
+    assert good > bad + 0.2
+    again = quality_classifier.train(docs.repartition(5), labels, max_docs=40)
+    assert (again[0] == model[0]).all() and again[1] == model[1]
+
+
 def test_html_extract(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href="/x">Home</a></nav>
       <div class="ad">Buy this now</div><article><h1>Big  title</h1><p>First <b>para</b>graph &amp; more.<br>Next line<p>Short.
