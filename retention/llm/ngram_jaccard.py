@@ -12,8 +12,9 @@ sets form a class, and only the smallest id of a class goes on.
 3. Candidates of a posting list are first paired with two centres only, verified, and the links
    joined into components.  Then every remaining pair of a list that lies in different components is
    verified too, so no link between components is lost.
-4. Verification is vertical: the shingles are cut into ``fragments``; each (pair, fragment) counts its
-   partial overlap separately, and partial counts are summed per pair before the threshold.
+4. Verification is vertical: the shingles are cut into ``fragments`` by residue of their hash (not by
+   ranges of the global order); each (pair, fragment) counts its partial overlap separately, and partial
+   counts are summed per pair before the threshold.
 5. Inside a component of three or more, all pairs are verified, so no link between different texts
    is lost.  The component is dealt by hash into blocks of bounded size; a pair of blocks counts the
    partial overlaps of all its pairs at once, fragment by fragment, and gives each set's links as a list.
