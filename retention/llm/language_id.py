@@ -8,12 +8,12 @@ words; the reported score is the posterior of the winner over at most ``EVIDENCE
 Training reads a bounded, documented sample: ``max_docs`` rows of each language, smallest hash of
 the id first, whole texts.  Every label is learned, and every word and n-gram of the sample is kept,
 so no language's vocabulary depends on the rows of another.  Only counts that occur are stored: what
-is shipped to the tasks grows with the sample's own vocabulary, 12 bytes a (language, entry) and 20
+is shipped to the tasks grows with the sample's own vocabulary, 8 bytes a (language, entry) and 16
 an entry, not with languages times entries.  Prediction is one map-only stage.
 
 Smoothing: a language's frequencies are drawn towards the mean over all languages, with the weight of
 ``PRIOR`` occurrences.  So what only one language has seen always speaks for that language, however
-few rows it has, and few rows neither earn nor cost a language anything on what it has not seen.
+few rows it has; an entry that a language has not seen costs it less the fewer rows it has.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; a text of only
 unknown characters gets the first language with an even score; ties go to the first language in
