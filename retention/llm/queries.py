@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    exact_dedup,
     html_extract,
     language_id,
     license_scan,
@@ -18,6 +19,8 @@ from . import (
     quality_rules,
     sp_viterbi,
     substring_dedup,
+    token_alignment,
+    va_clustering,
 )
 from .common import table
 
@@ -109,3 +112,61 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     public = lambda c: F.when(F.col(c) < ngram_jaccard.NO_ID, F.col(c))
     return found.select(public("doc").alias("doc_id"), "n_shingles", public("component").alias("component_id"),
                         public("class").alias("class_id"), "n_links")
+
+
+@_query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of each group of equal texts stays, for every document."""
+    return exact_dedup.ledger(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_va_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings after 3 rounds from 16 hashed starts."""
+    return va_clustering.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment groups and links of two tokenizers over every document."""
+    return token_alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h ORDER BY length(t) DESC, doc_id)
+"""
+
+# one step for each round: nearest centroid (ties: smaller number), then the floor of the mean
+_ROUND = """
+a{r} AS (
+  SELECT vec_id, arg_min(c, struct_pack(d := d, c := c)) AS c FROM (
+    SELECT v.vec_id, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM v JOIN c{p} k ON v.i = k.i GROUP BY v.vec_id, k.c)
+  GROUP BY vec_id),
+c{r} AS (
+  SELECT k.c, k.i, coalesce(m.x, k.x) AS x FROM c{p} k LEFT JOIN (
+    SELECT a.c, v.i, floor(sum(v.x)::DECIMAL(38, 0) / count(*))::BIGINT AS x FROM a{r} a JOIN v ON a.vec_id = v.vec_id GROUP BY a.c, v.i) m
+  ON k.c = m.c AND k.i = m.i),
+"""
+ORACLES["op12_va_clustering"] = """
+WITH usable AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (
+  SELECT vec_id, unnest(range(64)) AS i, unnest([floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS x FROM usable),
+chosen AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM usable QUALIFY c < 16),
+c0 AS (SELECT chosen.c, v.i, v.x FROM chosen JOIN v ON chosen.vec_id = v.vec_id),
+""" + "".join(_ROUND.format(r=r, p=r - 1) for r in (1, 2, 3)) + """
+last AS (
+  SELECT vec_id, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM v JOIN c3 k ON v.i = k.i GROUP BY v.vec_id, k.c)
+  GROUP BY vec_id),
+names AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, last.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY last.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM last JOIN names ON last.c = names.c
+"""
