@@ -162,6 +162,16 @@ def test_alignment_of_long_text(spark):
     assert all(r["n_links"] >= max(r["n_a"], r["n_b"]) and r["n_groups"] > 0 for r in rows.values())
 
 
+def test_ranks_equal_the_tokenizer_file():
+    a = token_alignment.pair_of(token_alignment.TOKENIZERS)[0].of
+    assert a.ranked is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"x{c}y {c} 1{c}2 !{c}? {c}{c}a  {c}  \n" for c in points] + [c * n for c in (" ", "\n", " \t", "x", "é1") for n in (9_999, 10_000, 400_000)]
+    for start in range(0, len(texts), 50_000):
+        part = texts[start:start + 50_000]
+        assert a.encode(part) == [e.ids for e in a.of.encode_batch_fast([" " + t for t in part], add_special_tokens=False)]
+
+
 def test_gallop():
     rnd = random.Random(2)
     for _ in range(200):
