@@ -17,11 +17,13 @@ keeps the best k of those.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part;
 vectors of different lengths compare over their common components; repeated rows are separate
-candidates (a query never meets rows of its own id) but one query; fewer than k candidates give fewer rows.
+candidates (a query never meets rows of its own id) but one query; rows that share an id but not their
+vector are separate queries, each with its own k best; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,14 +114,16 @@ def _pairs(k: int):
                 kind = np.float64 if reach < EXACT else object
                 postings = np.ascontiguousarray(vectors.T).astype(kind)
                 low, high = postings.min(axis=1), postings.max(axis=1)
-                out_q, out_v, out_s = [], [], []
+                out_q, out_v, out_s, out_n = [], [], [], []
                 for own, q in zip(q_ids.tolist(), queries.astype(kind), strict=True):
                     found, scores = search_shard(q, own, ids, postings, low, high, k)
                     out_q += [own] * len(found)
+                    out_n += [int.from_bytes(hashlib.blake2b(repr(q.tolist()).encode(), digest_size=8).digest(), "big", signed=True)] * len(found)
                     out_v += found.tolist()
                     out_s += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], names=["query_id", "vec_id", "score"])
+                    [pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64()), pa.array(out_n, pa.int64())],
+                    names=["query_id", "vec_id", "score", "asked"])
 
     return run
 
@@ -147,8 +151,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     asks = pack(usable.filter("asks").dropDuplicates(["id", "v"]).withColumn("copy", F.lit(1).cast("long")), blocks, "block", "query_ids", "queries")
     # each query block goes to every shard: the pairs that an exact search over all rows must visit
     work = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(cand, "shard")
-    found = work.select("query_ids", "queries", "ids", "vectors").mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = work.select("query_ids", "queries", "ids", "vectors").mapInArrow(_pairs(k), "query_id long, vec_id long, score long, asked long")
+    place = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document's set holds the 64-bit hashes of its distinct n-word shingles.  Documents with equal
-sets form a class, and only the smallest id of a class goes on.
+A document's set holds the 64-bit hashes of its distinct n-word shingles.  Rows with equal sets form
+a class, and only one of its rows goes on, under a number of the class; rows are told apart by their id
+and a 64-bit hash of their text, so rows that share an id but not their text are different documents.
 
 1. Filter, in hash order.  If two sets are linked, their prefixes (the shingles one of them may
    lack, plus ``slack``) share at least ``slack`` shingles.  Prefix shingles are counted once; a
@@ -12,9 +13,9 @@ sets form a class, and only the smallest id of a class goes on.
 3. Candidates of a posting list are first paired with two centres only, verified, and the links
    joined into components.  Then every remaining pair of a list that lies in different components is
    verified too, so no link between components is lost.
-4. Verification is vertical: the shingles are cut into ``fragments`` by residue of their hash (not by
-   ranges of the global order); each (pair, fragment) counts its partial overlap separately, and partial
-   counts are summed per pair before the threshold.
+4. Verification is vertical: the global order is cut into ``fragments`` ranges at the document
+   frequencies 4, 8, 16, ... (a shingle found once can't overlap and is in none); each (pair, fragment)
+   counts its partial overlap separately, and partial counts are summed per pair before the threshold.
 5. Inside a component of three or more, all pairs are verified, so no link between different texts
    is lost.  The component is dealt by hash into blocks of bounded size; a pair of blocks counts the
    partial overlaps of all its pairs at once, fragment by fragment, and gives each set's links as a list.
@@ -23,9 +24,10 @@ The result is the links between classes (the pairs of different sets) and the cl
 links of that class, and the component of every row.
 
 Defined results: a text with fewer words than n has its whole sequence as its one shingle; empty
-and null texts have an empty set and link with nothing; repeated rows are copies; a null id takes
-part under a hash of its text above all ids, and its component is null where no id is in it; only
-the id and text columns are read.
+and null texts have an empty set and link with nothing; repeated rows are copies, and so are rows of
+equal sets under any ids; rows that share an id but not their text each have their own class and links;
+a null id takes part under a hash of its text above all ids, and its component is null where no id is
+in it; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -90,9 +92,9 @@ def _prefixes(n: int, percent: int):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)),
+                [batch.column("doc"), batch.column("part"), pa.array(sizes, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)),
                  pa.array(np.array(k2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc", "n", "k1", "k2", "prefix"])
+                names=["doc", "part", "n", "k1", "k2", "prefix"])
 
     return run
 
@@ -109,8 +111,10 @@ def _sets(n: int):
     return run
 
 
-def document_key(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.lit(13), F.col(text_col)), F.lit(NO_ID)))
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    """(doc, part): the id, or a hash of the text above all ids where it is null, and a hash of the text."""
+    text = F.xxhash64(F.lit(13), F.col(text_col))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(text, F.lit(NO_ID))).alias("doc"), text.alias("part")]
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -141,12 +145,12 @@ def verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], rows: int, columns: int, fragments: int) -> np.ndarray:
-    """How many shingles each set of ``x`` shares with each of ``y``; both are (place of the set, shingle)."""
+def _overlaps(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], rows: int, columns: int) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``; both are (place of the set, shingle,
+    fragment)."""
     both = np.zeros((rows, columns), np.int64)
-    fx, fy = x[1] % np.uint64(fragments), y[1] % np.uint64(fragments)
-    for f in range(fragments):
-        (dx, gx), (dy, gy) = (x[0][fx == f], x[1][fx == f]), (y[0][fy == f], y[1][fy == f])
+    for f in np.unique(x[2]):
+        (dx, gx), (dy, gy) = (x[0][x[2] == f], x[1][x[2] == f]), (y[0][y[2] == f], y[1][y[2] == f])
         common = np.intersect1d(gx, gy)
         for start in range(0, len(common), 8192):
             part = common[start:start + 8192]
@@ -161,21 +165,24 @@ def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]
     return both
 
 
-def _block_links(percent: int, fragments: int):
+def _block_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
         """The links between two blocks, or within one, from both ends: (doc, near)."""
         block = group.column("block").to_numpy()
         docs = group.column("doc").to_numpy()
         grams = group.column("grams").combine_chunks()
         grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
-        sizes = np.diff(grams.offsets.to_numpy())
+        sizes, lengths = group.column("n").to_numpy(), np.diff(grams.offsets.to_numpy())
         flat = grams.flatten().to_numpy().view(np.uint64)
-        owner = np.repeat(np.arange(len(docs)), sizes)
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        cuts = np.array(group.column("cuts").to_pylist(), np.int64).reshape(len(docs), -1)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        fragment = sum((at >= c[owner] for c in cuts.T), np.zeros(len(flat), np.int64))
         low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         place = np.zeros(len(docs), np.int64)
         place[low], place[high] = np.arange(len(low)), np.arange(len(high))
-        own = [(place[owner[m]], flat[m]) for m in (np.isin(owner, low), np.isin(owner, high))]
-        both = _overlaps(*own, len(low), len(high), fragments)
+        own = [(place[owner[m]], flat[m], fragment[m]) for m in (np.isin(owner, low), np.isin(owner, high))]
+        both = _overlaps(*own, len(low), len(high))
         linked = both * 100 >= percent * (sizes[low][:, None] + sizes[high][None, :] - both)
         linked &= docs[low][:, None] != docs[high][None, :]
         ends = [(low, high, linked)] if block.min() == block.max() else [(low, high, linked), (high, low, linked.T)]
@@ -188,11 +195,15 @@ def _block_links(percent: int, fragments: int):
 
 def within(first: DataFrame, full: DataFrame, percent: int, fragments: int, block_docs: int = 256, block_grams: int = 2**18) -> DataFrame:
     """(doc, near): the links of every set inside its component, for components (``first``) of three sets or
-    more.  Blocks hold about ``block_docs`` sets and ``block_grams`` shingles at most, or one larger set."""
+    more.  Blocks hold about ``block_docs`` sets and ``block_grams`` shingles at most, or one larger set.
+    ``full`` has doc and grams; n (the size of the whole set) and cuts (the places in grams where the
+    fragments after the first begin) where it is written by ``ranges``, else one fragment holds all."""
+    if "cuts" not in full.columns:
+        full = full.select("doc", F.size("grams").cast("long").alias("n"), "grams", F.array().cast("array<int>").alias("cuts"))
     member = first.select(F.col("id").alias("doc"), "component")
     groups = (
-        member.join(full.select("doc", F.size("grams").alias("n")), "doc").groupBy("component")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).filter("docs > 2")
+        member.join(full.select("doc", F.size("grams").alias("held")), "doc").groupBy("component")
+        .agg(F.count(F.lit(1)).alias("docs"), F.sum("held").alias("grams")).filter("docs > 2")
         .select("component", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("grams") / block_grams)).alias("blocks"))
     )
     dealt = (
@@ -201,7 +212,12 @@ def within(first: DataFrame, full: DataFrame, percent: int, fragments: int, bloc
         .select("doc", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     return dealt.join(full, "doc").groupBy("component", "low", "high").applyInArrow(
-        _block_links(percent, fragments), "doc long, near array<long>")
+        _block_links(percent), "doc long, near array<long>")
+
+
+def ranges(ordered: Column, fragments: int) -> Column:
+    """Where in an ordered array of (df, gram) each fragment after the first begins: at df 4, 8, 16, ..."""
+    return F.transform(F.sequence(F.lit(1), F.lit(fragments - 1)), lambda f: F.size(F.filter(ordered, lambda x: x["df"] < F.pow(F.lit(2.0), f + 1))))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
@@ -212,37 +228,45 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
             fragments: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Rows and pairs.  One row per document: ``doc`` (its key), n_shingles, ``component`` (the least key
-    reached), ``class`` (the least key with the same set) and n_links (other classes its class is linked
-    with).  One pair (``a`` < ``b``, keys of classes) for every link between different sets."""
-    texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    sets = materialize(texts.mapInArrow(_prefixes(n, percent), "doc long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
-    classes = materialize(sets.groupBy("n", "k1", "k2").agg(F.min("doc").alias("first")).filter("n > 0"), "jaccard-classes")
+    """Rows and pairs.  One row per document: ``doc`` and ``part`` (its key), n_shingles, ``component`` (the
+    least id reached), ``class`` (the least id with the same set), n_links (other classes its class is
+    linked with) and ``stays`` (it is the row of its component with the least key, or a copy of that one).
+    One pair for every link between different sets: their classes ``a`` < ``b``, with the classes' own
+    numbers ``node_a``, ``node_b``, which tell classes apart where ids repeat."""
+    texts = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
+    sets = materialize(texts.mapInArrow(_prefixes(n, percent), "doc long, part long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
+    classes = materialize(
+        sets.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc", "part")).alias("first")).filter("n > 0")
+        .select("n", "k1", "k2", F.col("first.doc").alias("first"), F.col("first.part").alias("part"), F.monotonically_increasing_id().alias("node")), "jaccard-classes")
     # 1. filter: how many shingles of each prefix are found in another prefix
     grams = sets.select("doc", "n", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
     partner = F.ceil(F.col("n") * percent / 100)  # size of the smallest set it can be linked with
+    # texts that share an id and a size are counted together here, which only lets more of them through
     likely = (
         grams.join(shared, "gram").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(partner / 12))).select("doc")
+        .filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(partner / 12))).select("doc", "n")
     )
-    chosen = likely.join(classes.select(F.col("first").alias("doc")), "doc", "left_semi").distinct()
+    chosen = classes.select(F.col("first").alias("doc"), "part", "n", "node").join(likely, ["doc", "n"], "left_semi").select("doc", "part", "node")
     full = materialize(
-        texts.join(chosen, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
+        texts.join(chosen, ["doc", "part"]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text")
+        .mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
     # 2. the global order: document frequency, then hash
-    tokens = full.select("doc", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    tokens = full.select("doc", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
     frequency = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("ordered"))  # after the grams found once
-    postings = materialize(
+    lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("grams"))  # after the grams found once
+    ordered = materialize(
         tokens.join(frequency, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
-        .filter(lead > 0)
-        .select("doc", "n", (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), lead.cast("int"))).alias("at", "x"))
-        .select("doc", "n", (F.col("single") + F.col("at")).alias("before"), F.col("x.gram").alias("gram")), "jaccard-postings")
-    segments = full.select("doc", F.explode(F.transform(
+        .select("doc", "n", F.col("ordered.gram").alias("grams"), ranges(F.col("ordered"), fragments).alias("cuts")), "jaccard-ordered")
+    postings = materialize(
+        ordered.filter(lead > 0)
+        .select("doc", "n", (F.col("n") - F.size("grams")).alias("single"), F.posexplode(F.slice("grams", F.lit(1), lead.cast("int"))).alias("at", "gram"))
+        .select("doc", "n", (F.col("single") + F.col("at")).alias("before"), "gram"), "jaccard-postings")
+    bound = lambda k: F.when(k == 0, 0).when(k == fragments, F.size("grams")).otherwise(F.get("cuts", k - 1))
+    segments = ordered.select("doc", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(fragments - 1)),
-        lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.pmod(g, F.lit(fragments)) == f).alias("grams")))).alias("s")
+        lambda f: F.struct(f.alias("fragment"), F.slice("grams", bound(f) + 1, bound(f + 1) - bound(f)).alias("grams")))).alias("s")
     ).select("doc", F.col("s.fragment").alias("fragment"), F.col("s.grams").alias("grams")).filter(F.size("grams") > 0)
-    segments = materialize(segments, "jaccard-segments")
     # sizes allow a link, and so do the shingles from this one on: of a linked pair, this holds at the
     # first shingle they share, as all before it (counted by ``before``) are in one of them only
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
@@ -276,23 +300,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     twos = first.join(first.groupBy("component").agg(F.count(F.lit(1)).alias("docs")).filter("docs = 2"), "component", "left_semi")
     single = links.join(twos.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b").union(cross)
     ends = single.select(F.col("a").alias("doc"), F.array("b").alias("near")).union(single.select("b", F.array("a")))
-    linked = materialize(within(first, full, percent, fragments).union(ends), "jaccard-linked")
-    pairs = linked.select(F.col("doc").alias("a"), F.explode("near").alias("b")).filter("a < b")
-    counts = linked.groupBy("doc").agg(F.sum(F.size("near")).alias("n_links")).withColumnRenamed("doc", "first")
-    by_class = classes.join(final.withColumnRenamed("id", "first"), "first", "left").join(counts, "first", "left").select(
-        "n", "k1", "k2", "first", "n_links", F.coalesce("component", "first").alias("component"))
+    linked = materialize(within(first, ordered, percent, fragments).union(ends), "jaccard-linked")
+    number = lambda name: classes.select(F.col("node").alias(f"node_{name}"), F.col("first").alias(name))
+    pairs = (
+        linked.select(F.col("doc").alias("node_a"), F.explode("near").alias("node_b")).join(number("a"), "node_a").join(number("b"), "node_b")
+        .filter((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("node_a") < F.col("node_b")))).select("a", "b", "node_a", "node_b"))
+    counts = linked.groupBy("doc").agg(F.sum(F.size("near")).alias("n_links")).withColumnRenamed("doc", "node")
+    placed = classes.join(final.select(F.col("id").alias("node"), F.col("component").alias("root")), "node", "left").join(counts, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    # a linked component is named by its least id, and the row that has it stays
+    least = placed.groupBy("root").agg(F.min(F.struct("first", "part")).alias("least"))
+    by_class = materialize(placed.join(least, "root").select("n", "k1", "k2", "first", "n_links", "least"), "jaccard-named")
     rows = sets.drop("prefix").join(by_class, ["n", "k1", "k2"], "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"),
-        F.coalesce("first", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "doc", sets["part"], F.col("n").alias("n_shingles"), F.coalesce("least.first", "doc").alias("component"),
+        F.coalesce("first", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce((F.col("least.first") == F.col("doc")) & (F.col("least.part") == sets["part"]), F.lit(True)).alias("stays"))
     return rows, pairs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id."""
+    """``docs`` with one document of each component: the one with the least id, then text hash."""
     from pyspark.sql import Window
 
     found = components(docs, id_col, text_col, n, percent)
-    keepers = materialize(found.filter("doc = component").select(F.col("doc").alias("__doc")).distinct(), "jaccard-keepers")
-    keyed = docs.withColumn("__doc", document_key(id_col, text_col)).join(keepers, "__doc", "left_semi")
-    once = Window.partitionBy("__doc").orderBy(F.xxhash64(F.col(text_col)))
-    return keyed.withColumn("__row", F.row_number().over(once)).filter("__row = 1").drop("__doc", "__row")
+    keepers = materialize(found.filter("stays").select("doc", "part").distinct(), "jaccard-keepers")
+    keyed = docs.select(F.struct("*").alias("row"), *document_key(id_col, text_col)).join(keepers, ["doc", "part"], "left_semi")
+    once = Window.partitionBy("doc", "part").orderBy("part")  # copies of one row; a row number of 1 is found before the shuffle
+    return keyed.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("row.*")

@@ -163,9 +163,9 @@ def _remove(window: int):
 
 
 def document_key(id_col: str, text_col: str) -> list[Column]:
-    """(doc, part): the id, or a hash of the text where it is null, and 16 bits of the text's hash."""
+    """(doc, part): the id, or a hash of the text where it is null, and the text's 64-bit hash."""
     text = F.xxhash64(F.lit(11), F.col(text_col))
-    return [F.coalesce(F.col(id_col).cast("long"), text).alias("doc"), F.pmod(text, F.lit(65536)).alias("part")]
+    return [F.coalesce(F.col(id_col).cast("long"), text).alias("doc"), text.alias("part")]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     branched = branching.join(opened_masks, ["anchor", "content"]).select("doc", "part", "at", "mask")
     verdicts = (
         whole.unionByName(branched).groupBy("doc", "part")
-        .agg(F.collect_list(F.struct("at", "mask")).alias("__verdicts"))
+        .agg(F.collect_set(F.struct("at", "mask")).alias("__verdicts"))  # copies of a row give the same ones
     )
     rows = docs.select(*document_key(id_col, text_col), F.struct(*docs.drop(text_col).columns).alias("__doc"), F.col(text_col).alias("__text"))
     marked = rows.join(verdicts, ["doc", "part"], "left").drop("doc", "part")

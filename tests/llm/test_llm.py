@@ -214,7 +214,7 @@ def test_maxscore_repeated_ids(spark, monkeypatch):
         def run(batches):
             for b in batches:
                 n = pa.array([len(x) for x in b.column("ids").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([n, n, n], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([n, n, n, n], names=["query_id", "vec_id", "score", "asked"])
 
         return run
 
