@@ -262,3 +262,31 @@ def current_model(registry: DataFrame) -> DataFrame:
         F.max_by("model_version", "ts").alias("model_version"),
         F.max("ts").alias("ts"),
     )
+
+
+REGISTRY_SCHEMA = ("model_id string, model_path string, model_version string, ts timestamp, passed boolean, accuracy double, "
+                   "precision double, recall double, f1_score double, run_id string")
+
+
+def register_run(entries: DataFrame, path: str, run_id: str) -> str:
+    """T10 by run: store a run's model entries as its own partition of the registry; a repeated run
+    replaces its entries, and no other run's are read or written."""
+    from ..sources.run_log import append_run
+
+    kept = [c.split()[0] for c in REGISTRY_SCHEMA.split(", ") if c.split()[0] in entries.columns and c.split()[0] != "run_id"]
+    return append_run(entries.select(*kept), path, run_id)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """All registered entries; empty before the first run."""
+    from ..sources.run_log import read_runs
+
+    return read_runs(spark, path, REGISTRY_SCHEMA)
+
+
+def current_models(registry: DataFrame) -> DataFrame:
+    """The latest passing version of every model (max_by is a partial aggregate); ties go to the
+    later run, then version."""
+    order = F.struct("ts", "run_id", "model_version")
+    return registry.filter("passed").groupBy("model_id").agg(
+        F.max_by("model_path", order).alias("model_path"), F.max_by("model_version", order).alias("model_version"), F.max("ts").alias("ts"))

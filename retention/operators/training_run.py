@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import rules
-from ..sources import writers
+from ..schema import METRICS_SCHEMA
+from ..sources import run_log, writers
 from . import analytics, cleaning, model, monitoring
 
 
@@ -36,12 +37,17 @@ def training_run(
     registry_path: str | None = None,
     t: Thresholds = DEFAULT,
     run_id: str | None = None,
+    store_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run every step; return the written tables by name.
 
     ``subscribers`` is a typed (or text) subscriber table with labels.  Paths that are
     None are created under ``out_dir`` (first run: the current data becomes the drift
-    reference and the metric log starts empty)."""
+    reference and the metric log starts empty).
+
+    With ``store_path`` the metric log, the registry and the alert history are kept there by run
+    instead: each run appends its own partition, a repeated ``run_id`` replaces its own, and the alerts
+    come back with their history."""
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     run_id = run_id or now.strftime("run-%Y%m%d%H%M%S")
     data = cleaning.coerce_types(cleaning.normalize_columns(subscribers))
@@ -74,7 +80,11 @@ def training_run(
         F.lit(now).cast("timestamp").alias("ts"), F.lit(passed).alias("passed"),
         "accuracy", "precision", "recall", "f1_score",
     )
-    out["registry"] = model.promote(spark, registry_path, entry, _path(out_dir, "registry"))
+    if store_path:
+        model.register_run(entry.withColumn("model_id", F.lit(model_id)), _path(store_path, "registry"), run_id)
+        out["registry"] = model.read_registry(spark, _path(store_path, "registry"))
+    else:
+        out["registry"] = model.promote(spark, registry_path, entry, _path(out_dir, "registry"))
 
     # drift against the stored reference
     ref, created = writers.create_or_load_reference(spark, data, reference_path or _path(out_dir, "reference"))
@@ -95,7 +105,12 @@ def training_run(
         "accuracy", "precision", "recall", "f1_score",
         F.lit(t.model_version).alias("model_version"), F.lit(run_id).alias("run_id"),
     )
-    log = writers.append_metrics(spark, metrics_log_path, new_row, _path(out_dir, "model_metrics"), t.keep_metrics)
+    if store_path:
+        run_log.append_run(new_row, _path(store_path, "model_metrics"), run_id)
+        run_log.retain_runs(spark, _path(store_path, "model_metrics"), METRICS_SCHEMA, t.keep_metrics)
+        log = run_log.newest_metrics(spark, _path(store_path, "model_metrics"), METRICS_SCHEMA, t.keep_metrics)
+    else:
+        log = writers.append_metrics(spark, metrics_log_path, new_row, _path(out_dir, "model_metrics"), t.keep_metrics)
     out["model_metrics"] = log
     degradation = monitoring.performance_degradation(log, t)
 
@@ -104,6 +119,9 @@ def training_run(
     alerts = monitoring.alerts(drift, degradation, latest, summary, t).withColumn("run_id", F.lit(run_id))
     alerts.write.mode("errorifexists").parquet(_path(out_dir, "alerts"))
     out["alerts"] = spark.read.parquet(_path(out_dir, "alerts"))
+    if store_path:
+        run_log.append_alerts(out["alerts"], _path(store_path, "alerts"), run_id, now)
+        out["alert_history"] = run_log.alert_history(spark, _path(store_path, "alerts"))
     report = analytics.run_report(data, cleaning.find_all(cleaning.impute(data)), metrics, validation, t.model_version)
     report.write.mode("errorifexists").parquet(_path(out_dir, "report"))
     out["report"] = spark.read.parquet(_path(out_dir, "report"))

@@ -66,10 +66,11 @@ UPLOAD_DEFAULTS = {
 # --- end of fixed values ----------------------------------------------------------------
 
 
-def read_with_defaults(df: DataFrame, id_prefix: str = "AUTO_") -> DataFrame:
+def read_with_defaults(df: DataFrame, id_prefix: str = "AUTO_", row_col: str | None = None) -> DataFrame:
     """S3: add absent columns with their defaults; present columns are left alone.
 
-    An absent ``customer_id`` becomes ``AUTO_<n>`` from a per-row unique number."""
+    An absent ``customer_id`` becomes ``AUTO_<n>``: n is the row's number in ``row_col`` where given
+    (``uploads.read_upload``), else a unique number."""
     out = df
     for name, value in UPLOAD_DEFAULTS.items():
         if name not in out.columns:
@@ -78,7 +79,7 @@ def read_with_defaults(df: DataFrame, id_prefix: str = "AUTO_") -> DataFrame:
                 lit = lit.cast("boolean")
             out = out.withColumn(name, lit)
     if "customer_id" not in out.columns:
-        out = out.withColumn("customer_id", F.concat(F.lit(id_prefix), F.monotonically_increasing_id().cast("string")))
+        out = out.withColumn("customer_id", F.concat(F.lit(id_prefix), (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("string")))
     return out
 
 

@@ -30,3 +30,14 @@ def test_two_runs(spark):
     assert "DATA_DRIFT" in types
     assert r2["model_metrics"].count() == 2
     assert r2["registry"].count() == 2
+
+
+def test_a_repeated_run_in_a_shared_store(spark):
+    """One run id, tried twice: one metric row, one registry entry, one copy of its alerts."""
+    subs = fixtures.subscribers(spark, "/root/testdata/sf0.001")
+    store = scratch_path(spark, "store")
+    tries = [training_run(spark, subs, scratch_path(spark, "try"), run_id="nightly", store_path=store) for _ in range(2)]
+    last = tries[-1]
+    assert last["model_metrics"].count() == last["registry"].count() == 1
+    history = last["alert_history"]
+    assert history.count() == last["alerts"].count() and history.filter("run_id <> 'nightly' or times <> 1").isEmpty()
