@@ -5,11 +5,18 @@ link density, those of its neighbours, whether it is a heading, and where it sta
 outside an article or main element, inside a navigation, notice, advert, form or comment part).  A
 small decision tree, trained here on the labelled table below, keeps or drops each block.
 
+A part is named by its tag (nav, aside, footer, ...), or by a listed word in its class, id, role or a
+short aria-label.  Words after has-, with- or no- describe a page's layout and name nothing.  A name
+from words alone is dropped where the part turns out to be a wrapper: it holds the page's article or
+main element and none stands outside of named parts, or the page has neither and no text with few
+links outside of named parts.
+
 Pages are independent: one map-only stage over whole pages.
 
 Defined results: null and empty html give an empty text; a page cut off anywhere is read to its
-end (an unfinished tag, comment or script is markup); repeated rows are extracted alike; other
-columns are ignored.
+end (an unfinished tag, comment, script or style is markup; other elements without text of their own
+end at the next block where their end tag is missing); repeated rows are extracted alike; other columns
+pass through, and one that has the name of the text column is replaced by it.
 """
 
 from __future__ import annotations
@@ -62,10 +69,19 @@ LABELLED = np.array([
     [8, 0.9, 4, 1.0, 6, 1.0, 0, 1, 0, 0], [15, 0.8, 20, 0.7, 15, 0.9, 0, 1, 0, 0], [5, 0.0, 1, 1.0, 2, 1.0, 0, 1, 0, 0],
     [6, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 0], [3, 0.0, 2, 0.0, 4, 1.0, 0, 1, 0, 0], [30, 0.9, 20, 0.9, 25, 0.8, 0, 1, 0, 0],
     [60, 0.0, 40, 0.0, 50, 0.0, 0, 1, 1, 0], [10, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 0], [1, 1.0, 3, 1.0, 50, 0.0, 0, 1, 1, 0],
+    # pages of one or two short blocks, and short headings that open a page: what follows decides
+    [2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1], [1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1], [5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1], [3, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1],
+    [3, 0.0, 0, 0.0, 60, 0.0, 1, 1, 0, 1], [2, 0.0, 1, 1.0, 45, 0.0, 1, 1, 0, 1], [4, 0.0, 3, 1.0, 80, 0.0, 1, 1, 0, 1], [5, 0.0, 2, 1.0, 30, 0.0, 1, 1, 0, 1],
+    [1, 0.0, 2, 1.0, 50, 0.0, 1, 1, 0, 1], [3, 0.0, 6, 0.0, 70, 0.0, 1, 1, 0, 1], [2, 0.0, 0, 0.0, 12, 0.0, 1, 1, 0, 1], [12, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1],
+    # short headings over rows of links or at the end of a page
+    [3, 0.0, 50, 0.0, 2, 1.0, 1, 1, 0, 0], [2, 0.0, 70, 0.0, 1, 1.0, 1, 1, 0, 0], [4, 0.0, 2, 1.0, 3, 1.0, 1, 1, 0, 0], [3, 0.0, 40, 0.0, 5, 0.9, 1, 1, 0, 0],
+    [3, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0], [2, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0], [4, 0.0, 5, 0.9, 0, 0.0, 0, 1, 0, 0],
     [25, 0.2, 60, 0.0, 0, 0.0, 0, 1, 1, 0], [5, 0.0, 70, 0.0, 12, 0.0, 1, 1, 1, 0], [80, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 0],
 ])
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "select", "option", "button", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
+# elements that hold no blocks
+SHORT = {"select", "option", "button"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
           "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINERS = {"div", "section", "article", "main", "nav", "aside", "footer", "header", "form", "ul", "ol", "dl", "table", "figure", "details",
@@ -76,22 +92,60 @@ BOILER_WORDS = set("ad ads advert adverts advertisement advertising adsense bann
                    "popup modal newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar "
                    "share sharing social related recommended recommendations comment comments reply replies disqus widget login signin search pagination "
                    "pager alert copyright".split())
+LAYOUT = {"has", "with", "no", "without"}
+# a part named by these may be a wrapper around the text
+WRAPPERS = set("sidebar aside related recommended recommendations comment comments reply replies widget share sharing social modal search".split())
+OTHER_ARTICLES = set("comment comments reply replies related recommended recommendations ad ads advert adverts advertisement promo promotion sponsored".split())
+_BLOCK_TAG = re.compile(r"</?(?:div|section|article|main|nav|aside|footer|header|form|ul|ol|dl|li|table|tr|td|figure|p|h[1-6]|blockquote|pre|hr|body|html|datalist|fieldset)\b", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?\Z""", re.S)
-_NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+)""", re.I)
+_NAMES = re.compile(r"""(class|id|role|aria-label)\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 _SPACE = re.compile(r"\s+")
 
 
-def _boiler(tag: str, attrs: str, in_main: bool) -> bool:
+def _named(attrs: str) -> set[str]:
+    """The listed words that the element's attributes name it by."""
+    found: set[str] = set()
+    for kind, value in _NAMES.findall(attrs):
+        tokens = value.strip("\"'").lower().split()
+        if kind.lower() == "aria-label" and len(tokens) > 3:
+            continue  # a sentence, not a name
+        for token in tokens:
+            words = re.split(r"[^a-z]+", token)
+            if words[0] not in LAYOUT:
+                found.update(words)
+    return found & BOILER_WORDS
+
+
+def _part(tag: str, attrs: str, in_main: bool) -> tuple[bool, set[str]]:
+    """(named by its tag or hidden, words it is named by)."""
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
-        return True
-    if tag in ("body", "html", "article", "main") or not attrs:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    words = {w for name in _NAMES.findall(attrs) for w in re.split(r"[^a-z]+", name.lower())}
-    return not words.isdisjoint(BOILER_WORDS)
+        return True, set()
+    if tag in ("body", "html") or not attrs:
+        return False, set()
+    if _HIDDEN.search(attrs) and tag not in ("article", "main"):
+        return True, set()
+    words = _named(attrs)
+    return False, words & OTHER_ARTICLES if tag in ("article", "main") else words
+
+
+def _end_of(page: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Where an element whose text is not read ends.  ``unclosed`` gathers the tags that no end tag
+    follows any more, so a page is not searched again and again for them."""
+    limit = len(page)
+    if tag in SHORT:
+        for stop in (_BLOCK_TAG, re.compile(rf"<{tag}\b", re.I)):
+            m = stop.search(page, at, limit)
+            limit = m.start() if m else limit
+    close = None if tag in unclosed else re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at, limit)
+    if close:
+        return close.end()
+    if tag in SHORT:
+        return limit
+    unclosed.add(tag)
+    block = None if tag in ("script", "style") else _BLOCK_TAG.search(page, at)
+    return block.start() if block else len(page)
 
 
 def blocks_of(page: str) -> list[dict]:
@@ -99,9 +153,13 @@ def blocks_of(page: str) -> list[dict]:
     out: list[dict] = []
     parts: list[str] = []  # text of the block being read
     linked = 0  # its characters inside links
-    open_: list[tuple[str, bool, bool]] = []  # (tag, in main, in a named part) of open containers
+    open_: list[tuple[str, tuple]] = []  # (tag, state) of open containers
     heading = link = False
-    main, boiler = False, False
+    outside = (False, False, ())  # in main; in a part named by its tag; the parts named by words it is in
+    state = outside
+    names: list[set[str]] = []  # of each part named by words
+    unclosed: set[str] = set()
+    mains: list[tuple] = []  # where articles and main elements stand
 
     def flush() -> None:
         nonlocal linked
@@ -109,7 +167,7 @@ def blocks_of(page: str) -> list[dict]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 raw = sum(map(len, parts))
-                out.append({"text": text, "words": text.count(" ") + 1, "links": linked / raw, "heading": heading, "main": main, "boiler": boiler})
+                out.append({"text": text, "words": text.count(" ") + 1, "links": linked / raw, "heading": heading, "main": state[0], "tagged": state[1], "parts": state[2]})
             parts.clear()
             linked = 0
 
@@ -135,8 +193,7 @@ def blocks_of(page: str) -> list[dict]:
             link = not closing
         if tag in RAW:
             if not closing and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*(?:>|\Z)|\Z", re.I).search(page, at)
-                at = end.end()
+                at = _end_of(page, tag, at, unclosed)
             flush() if tag not in ("svg", "math", "canvas") else None
             continue
         if tag in INLINE and tag != "span":
@@ -150,30 +207,57 @@ def blocks_of(page: str) -> list[dict]:
         if not closing:
             if tag != "span" and open_ and open_[-1][0] in CLOSED_BY_BLOCK:
                 open_.pop()
-                main, boiler = open_[-1][1:] if open_ else (False, False)
+                state = open_[-1][1] if open_ else outside
             if attrs.rstrip().endswith("/"):
                 continue
-            if _boiler(tag, attrs, main) and not boiler and tag == "span":
+            main, tagged, parts_in = state
+            by_tag, words = _part(tag, attrs, main)
+            if (by_tag or words) and not tagged and not parts_in and tag == "span":
                 flush()
-            main = main or tag in ("article", "main")
-            boiler = boiler or _boiler(tag, attrs, main)
-            open_.append((tag, main, boiler))
+            if words:
+                names.append(words)
+                parts_in = (*parts_in, len(names) - 1)
+            if tag in ("article", "main"):
+                main = True
+                if not words:
+                    mains.append((tagged, parts_in))
+            state = (main, tagged or by_tag, parts_in)
+            open_.append((tag, state))
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    was = boiler
                     if tag == "span" and k != len(open_) - 1:
                         break
                     del open_[k:]
-                    before = open_[-1][1:] if open_ else (False, False)
-                    if tag == "span" and was != before[1]:
+                    before = open_[-1][1] if open_ else outside
+                    if tag == "span" and state[1:] != before[1:]:
                         flush()
-                    main, boiler = before
+                    state = before
                     break
     flush()
+    wrappers = _wrappers(out, names, mains)
+    for b in out:
+        b["boiler"] = b["tagged"] or any(k not in wrappers for k in b["parts"])
     return out
 
 
+def _wrappers(blocks: list[dict], names: list[set[str]], mains: list[tuple]) -> set[int]:
+    """The parts named by words that are wrappers around the text."""
+    may = {k for k, words in enumerate(names) if words <= WRAPPERS}
+    if mains:
+        if any(not tagged and not parts for tagged, parts in mains):
+            return set()
+        return {k for tagged, parts in mains if not tagged for k in parts if k in may}
+    plain = [b for b in blocks if not b["tagged"] and b["links"] < 0.5]
+    if any(not b["parts"] for b in plain):
+        return set()
+    words: dict[int, int] = {}
+    for b in plain:
+        words[b["parts"][0]] = words.get(b["parts"][0], 0) + b["words"]
+    most = max(words, key=words.__getitem__, default=None)
+    return {most} & may
+
+
 def describe(blocks: list[dict]) -> np.ndarray:
     has_main = any(b["main"] for b in blocks)
     words = [0, *[b["words"] for b in blocks], 0]
@@ -222,8 +306,11 @@ def extract_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """``pages`` with the main text of each page."""
-    at, names = pages.columns.index(html_col), [*pages.columns, text_col]
+    """``pages`` with the main text of each page under ``text_col``."""
+    if text_col == html_col:
+        raise ValueError("the text column can't take the name of the html column")
+    others = pages.drop(text_col)
+    at, names = others.columns.index(html_col), [*others.columns, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -232,4 +319,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 texts = [extract_text(p) for p in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return pages.mapInArrow(run, with_fields(pages.schema, **{text_col: "string"}))
+    return others.mapInArrow(run, with_fields(others.schema, **{text_col: "string"}))
