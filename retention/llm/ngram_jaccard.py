@@ -237,7 +237,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     sets = materialize(texts.mapInArrow(_prefixes(n, percent), "doc long, part long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
     classes = materialize(
         sets.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc", "part")).alias("first")).filter("n > 0")
-        .select("n", "k1", "k2", F.col("first.doc").alias("first"), F.col("first.part").alias("part"), F.monotonically_increasing_id().alias("node")), "jaccard-classes")
+        .select("n", "k1", "k2", F.col("first.doc").alias("first"), F.col("first.part").alias("part"))
+        # numbers in order of id: the centre of a list is then its oldest document, of which the others are copies
+        .orderBy("first", "part").withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     # 1. filter: how many shingles of each prefix are found in another prefix
     grams = sets.select("doc", "n", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
