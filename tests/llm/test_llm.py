@@ -223,26 +223,57 @@ def test_maxscore_repeated_ids(spark, monkeypatch):
     assert largest <= 200
 
 
+def _best_pieces(model, text):
+    """The best segmentation by a table over all boundaries of the whole text; ties go to the longest last piece."""
+    w = " " + text
+    scores = {p.replace("▁", " "): v for p, v in model["pieces"].items()}
+    low = min(s for _, s in scores.values()) - 10 * sp_viterbi.UNIT
+    longest = max(map(len, scores))
+    best, back = [0.0], [None]
+    for j in range(1, len(w) + 1):
+        options = [(best[i] + scores[w[i:j]][1], -i, [scores[w[i:j]][0]]) for i in range(max(0, j - longest), j) if w[i:j] in scores]
+        if w[j - 1] not in scores:
+            options.append((best[j - 1] + low, 1 - j, [model["bytes"][x] for x in w[j - 1].encode()]))
+        found = max(options)
+        best.append(found[0])
+        back.append((-found[1], found[2]))
+    out, j = [], len(w)
+    while j:
+        out.append(back[j][1])
+        j = back[j][0]
+    return [x for ids in reversed(out) for x in ids]
+
+
 def test_sentencepiece(spark, docs, nothing):
-    codec = sp_viterbi.Codec(sp_viterbi.load())
     rnd = random.Random(1)
-    for _ in range(300):
-        s = "".join(rnd.choice("ab thein▁ \n\r\té日𐍈ly<>0x") for _ in range(rnd.randint(1, 80)))
-        ids = codec.encode(s)
-        assert codec.decode(ids) == s
-        one_by_one = [y for p in codec.stretch.findall(" " + s) for x in
-                      ([codec._bytes(p)] if p == sp_viterbi.MARK else codec.stream(p.replace(" ", sp_viterbi.MARK))) for y in x]
-        assert ids == one_by_one
+    file = sp_viterbi.load()
+    spanning = dict(file["pieces"])  # the same with pieces that cross spaces and line feeds
+    for p in ("a▁t", "▁a▁the", "n▁▁", "e\nb", "\n", "he▁in▁a"):
+        spanning[p] = (len(file["texts"]) + len(spanning), -float(rnd.randint(1, 9) * 1_000_000))
+    for model in (file, sp_viterbi.load(scores="file"), file | {"pieces": spanning}):
+        codec = sp_viterbi.Codec(model)
+        texts = ["".join(rnd.choice("ab thein▁ \n\r\té日𐍈ly<>0x") for _ in range(rnd.randint(1, 80))) for _ in range(150)]
+        texts += ["a the in a the\nbe " * 9, "=" * 300, "ab" * 400, "  \n\n  ", "\n", " ", "x" * 63 + " y", "x" * 64, "x" * 65]
+        for s, ids in zip(texts, codec.encode_all(texts), strict=True):
+            assert ids == _best_pieces(model, s), s
+            assert ids == [x for some in codec.stream(s) for x in some]
+            if model["pieces"] is not spanning:
+                assert codec.decode(ids) == s
+    codec = sp_viterbi.Codec(file)
+    window = sp_viterbi.Window(codec)
+    undecided = committed = 0
+    words = "words go by and are committed on the way " * 50
+    for c in " " + words:  # nothing waits for the end of the text
+        committed += len(window.read(c))
+        undecided = max(undecided, window.live[-1][2][2] - window.root[2])
+    left = len(window.close())
+    assert undecided <= 16 and left <= 2 and committed + left == len(codec.encode(words))
     long = "ab" * 5000
-    best = [0.0] + [float("-inf")] * len("▁" + long[:200])
-    text = "▁" + long[:200]
-    for i in range(len(text)):
-        for j in range(i + 1, min(len(text), i + 16) + 1):
-            if text[i:j] in codec.pieces:
-                best[j] = max(best[j], best[i] + codec.pieces[text[i:j]][1])
-    score = {i: s for i, s in codec.pieces.values()}
-    assert sum(score[i] for i in codec.encode(long[:200])) == pytest.approx(best[-1])
-    assert codec.decode(codec.encode(long)) == long
+    assert codec.decode(codec.encode(long)) == long and codec.encode_all([None, ""]) == [None, []]
+    clash = spark.createDataFrame([("a b", 7, "x")], "text string, ids int, decoded string")
+    assert sp_viterbi.decode(sp_viterbi.encode(clash)).select("text", "decoded").collect() == [("a b", "a b")]
+    with pytest.raises(ValueError):
+        sp_viterbi.encode(clash, ids_col="text")
     coded = sp_viterbi.encode(docs.select("doc_id", "text"), check_col="same")
     back = sp_viterbi.decode(coded)
     assert back.filter(~F.col("text").eqNullSafe(F.col("decoded"))).isEmpty() and coded.filter("not same").isEmpty()
