@@ -53,12 +53,18 @@ def ks_two_sample(cur: DataFrame, ref: DataFrame, columns: list[str]) -> DataFra
         .groupBy("column", "value")
         .agg(F.sum("_c").cast("bigint").alias("n_cur"), F.sum("_r").cast("bigint").alias("n_ref"))
     )
+    return ks_of_counts(counts, columns)
+
+
+def ks_of_counts(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """M2 from (column, value, n_cur, n_ref): how often each value occurs on either side."""
     cum = running_totals(counts, "value", ["n_cur", "n_ref"], groups=["column"])
-    gap = F.abs(F.col("cum_n_cur") / F.col("total_n_cur") - F.col("cum_n_ref") / F.col("total_n_ref"))
+    share = lambda side: F.try_divide(F.col(f"cum_{side}"), F.col(f"total_{side}"))  # noqa: E731 - null for an empty side
+    gap = F.abs(share("n_cur") - share("n_ref"))
     per_col = cum.groupBy("column").agg(
         F.max(gap).alias("_d"), F.first("total_n_cur").alias("_n"), F.first("total_n_ref").alias("_m")
     )
-    spark = cur.sparkSession
+    spark = counts.sparkSession
     names = F.broadcast(spark.createDataFrame([(x,) for x in columns], "column string"))
     j = names.join(per_col, "column", "left")
     valid = (F.col("_n") > 0) & (F.col("_m") > 0)
@@ -111,7 +117,11 @@ def numeric_drift(
     """M1: mean shift in reference standard deviations, KS test, and severity per column."""
     cols = [c for c in (columns or NUMERIC_DRIFT_COLUMNS) if c in cur.columns and c in ref.columns]
     ks = ks_two_sample(cur, ref, cols)
-    j = _moments(cur, ref, cols).join(ks, "column")
+    return numeric_report(_moments(cur, ref, cols).join(ks, "column"), t)
+
+
+def numeric_report(j: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """M1 from each column's moments on both sides and its KS test."""
     diff = F.abs(F.col("current_mean") - F.col("reference_mean"))
     std_diff = F.when(F.col("reference_std") > 0, diff / F.col("reference_std")).otherwise(F.lit(0.0))
     j = j.withColumn("mean_difference", diff).withColumn("std_differences", std_diff)
@@ -146,6 +156,11 @@ def categorical_drift(
         .groupBy("column", "value")
         .agg(F.sum("_c").alias("n_cur"), F.sum("_r").alias("n_ref"))
     )
+    return category_report(counts, t, report_all)
+
+
+def category_report(counts: DataFrame, t: Thresholds = DEFAULT, report_all: bool = False) -> DataFrame:
+    """M3 from (column, value, n_cur, n_ref)."""
     # category counts per column are few; the per-column totals are a small aggregate
     totals = counts.groupBy("column").agg(F.sum("n_cur").alias("t_cur"), F.sum("n_ref").alias("t_ref"))
     share_gap = F.abs(
@@ -176,7 +191,13 @@ def label_drift(cur: DataFrame, ref: DataFrame, label: str = "churn", t: Thresho
         (pos[1] / F.nullif(labelled[1], F.lit(0))).alias("reference_churn_rate"),
         pos[0].alias("_cp"),
         pos[1].alias("_rp"),
-    ).filter((F.col("_cp") > 0) & (F.col("_rp") > 0))
+    )
+    return label_report(j, t)
+
+
+def label_report(shares: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """M4 from one row: the share and the number of positive labels (``_cp``, ``_rp``) on both sides."""
+    j = shares.filter((F.col("_cp") > 0) & (F.col("_rp") > 0))
     diff = F.abs(F.col("current_churn_rate") - F.col("reference_churn_rate"))
     return j.select(
         "current_churn_rate",
