@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
-TABLES = ["customer", "orders", "nation"]
+TABLES = ["customer", "orders", "nation", "documents", "embeddings"]
 ORACLE = entry.oracle_sql()
 
 
