@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..functions import rules
 from ..schema import REQUIRED_COLUMNS, SEGMENTS
-from .ordered import exact_median
+from .selection import exact_quantiles
 
 
 def cents(c) -> "F.Column":
@@ -205,9 +205,10 @@ def probability_histogram(df: DataFrame, column: str = "probability_churn", bins
 def probability_stats(df: DataFrame, column: str = "probability_churn", exact: bool = True) -> DataFrame:
     """Mean, median (interpolated), sample std, min, max.
 
-    ``exact`` uses distributed running counts; otherwise ``percentile_approx``."""
+    ``exact`` selects the median by histograms narrowed in a few passes (``selection``), run while the
+    plan is built; otherwise ``percentile_approx``."""
     if exact:
-        med = exact_median(df, column).select("median").scalar()
+        med = F.lit(exact_quantiles(df, column, [0.5])[0]).cast("double")
     else:
         med = F.percentile_approx(F.col(column), 0.5, 10000)
     base = df.agg(

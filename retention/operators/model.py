@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from .evaluation import evaluate
-from .ordered import running_totals
+from .selection import in_share
 
 CATEGORICAL_FEATURES = [
     "gender", "multiple_lines", "internet_service", "online_security", "online_backup", "device_protection",
@@ -47,15 +47,14 @@ def stratified_split(
     Default: a row is in the test set when its hash is below ``test_size`` of the hash
     range - independent per row, so each class gets the test share in expectation, with
     no shuffle.  ``exact=True``: in each class exactly round(test_size * n_class) rows by
-    hash order, using distributed running counts (no per-class window in one task)."""
+    hash order; the cut of each class is found by passes over hash histograms, and the rows
+    then only pass a comparison.  Rows of one id stay on one side (if they straddle the cut, in
+    training), and rows without an id count as one id before all others."""
     h = split_hash(id_col, seed)
     if not exact:
         return df.withColumn("is_test", h < F.lit(_cut(test_size)))
-    keyed = df.withColumn("_h", F.concat(h, F.col(id_col).cast("string"))).withColumn("_one", F.lit(1))
-    ranked = running_totals(keyed, "_h", ["_one"], groups=[label])
-    return ranked.withColumn(
-        "is_test", F.col("cum__one") <= F.round(F.col("total__one") * F.lit(test_size))
-    ).drop("_h", "_one", "cum__one", "total__one")
+    key = F.coalesce(F.concat(h, F.col(id_col).cast("string")), F.lit(""))
+    return df.withColumn("is_test", in_share(df, key, label, test_size))
 
 
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
