@@ -265,7 +265,12 @@ def performance_degradation(log: DataFrame, t: Thresholds = DEFAULT) -> DataFram
     newest = Window.partitionBy("model_id").orderBy(F.desc("ts"), F.desc("run_id"))
     counts = log.groupBy("model_id").agg(F.count(F.lit(1)).alias("data_points"))
     top = log.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= keep)
-    j = top.join(counts, "model_id")
+    return degradation_of_newest(top.join(counts, "model_id"), t)
+
+
+def degradation_of_newest(j: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """M6 + M7 from the newest runs of every model, numbered ``rn`` from the newest, with ``data_points``,
+    how many runs the model has in all."""
     w = F.least(F.lit(t.recent_window), F.floor(F.col("data_points") / 2)).cast("int")
     bsize = F.least(F.col("data_points") - w, w * t.baseline_windows)
     j = j.withColumn("window_size", w).withColumn("_bsize", bsize)
