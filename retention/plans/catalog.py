@@ -32,6 +32,6 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from . import q_analytics, q_cleaning, q_model, q_monitoring, q_profiles, q_stores, q_tables  # noqa: F401
+    from . import q_analytics, q_cleaning, q_fleet, q_model, q_monitoring, q_profiles, q_stores, q_tables  # noqa: F401
 
     return REGISTRY
