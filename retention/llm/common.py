@@ -14,6 +14,7 @@ from retention.session import checkpoint_root
 # fixed by the data contract: white space is exactly these ASCII characters
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,6 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python in Arrow batches bounded by bytes: whole texts have no bound by
+    rows.  Set once for the session, unless its user has set it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(4 * 2**20))
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import bounded, with_fields
 
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "region", "boiler")
 
@@ -319,4 +319,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 texts = [extract_text(p) for p in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return others.mapInArrow(run, with_fields(others.schema, **{text_col: "string"}))
+    return others.transform(bounded).mapInArrow(run, with_fields(others.schema, **{text_col: "string"}))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import bounded, with_fields
 from .subword import Words, char_table, chunks
 
 ORDERS = (4, 3, 2, 1)
@@ -87,7 +87,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sample = training_sample(usable, id_col, text_col, lang_col, max_docs)
     found = (
-        sample.mapInArrow(_count, "lang string, kind int, gram long, n long")
+        sample.transform(bounded).mapInArrow(_count, "lang string, kind int, gram long, n long")
         .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).toArrow()  # of the bounded sample
     )
     names = found.column("lang").combine_chunks().dictionary_encode()
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", pred_col: str
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(score, with_fields(docs.schema, **{pred_col: "string", score_col: "double"}))
+    return docs.transform(bounded).mapInArrow(score, with_fields(docs.schema, **{pred_col: "string", score_col: "double"}))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .subword import Words, char_table, chunks, mix64
 
 NO_ID = 2**62  # keys from here on stand for rows without an id
@@ -234,7 +234,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     One pair for every link between different sets: their classes ``a`` < ``b``, with the classes' own
     numbers ``node_a``, ``node_b``, which tell classes apart where ids repeat."""
     texts = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
-    sets = materialize(texts.mapInArrow(_prefixes(n, percent), "doc long, part long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
+    sets = materialize(texts.transform(bounded).mapInArrow(_prefixes(n, percent), "doc long, part long, n long, k1 long, k2 long, prefix array<long>"), "jaccard-sets")
     classes = materialize(
         sets.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc", "part")).alias("first")).filter("n > 0")
         .select("n", "k1", "k2", F.col("first.doc").alias("first"), F.col("first.part").alias("part"))
@@ -252,7 +252,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     chosen = classes.select(F.col("first").alias("doc"), "part", "n", "node").join(likely, ["doc", "n"], "left_semi").select("doc", "part", "node")
     full = materialize(
         texts.join(chosen, ["doc", "part"]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text")
-        .mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
+        .transform(bounded).mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
     # 2. the global order: document frequency, then hash
     tokens = full.select("doc", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
     frequency = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")

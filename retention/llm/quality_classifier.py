@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import bounded, with_fields
 from .subword import Words, char_table, chunks
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 6, 0.5, 7
@@ -138,4 +138,4 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "t
             found = [x for run in chunks(batch.column(at).to_pylist()) for x in score_texts(run, weights, bias)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=names)
 
-    return docs.mapInArrow(score, with_fields(docs.schema, **{score_col: "double"}))
+    return docs.transform(bounded).mapInArrow(score, with_fields(docs.schema, **{score_col: "double"}))

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import bounded, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -306,7 +306,7 @@ def _map(df: DataFrame, model: dict, column: str, added: list[tuple[str, str]],
                 batch = whole.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(codec, batch.column(at).to_pylist())], names=names)
 
-    return df.mapInArrow(run, with_fields(df.schema, **dict(added)))
+    return df.transform(bounded).mapInArrow(run, with_fields(df.schema, **dict(added)))
 
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, model_path: str = MODEL,

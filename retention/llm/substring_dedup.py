@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .subword import Words, char_table, chunks, mix64
 
 WINDOW = 35  # fixed by the contract
@@ -173,7 +173,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     kept words joined by one space where any was removed), n_words, n_removed and kept_sha256."""
     texts = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     paths = materialize(
-        texts.mapInArrow(_paths(window, gram), "doc long, part long, at long, anchor long, content long"), "dedup-paths")
+        texts.transform(bounded).mapInArrow(_paths(window, gram), "doc long, part long, at long, anchor long, content long"), "dedup-paths")
     # compaction: minimizers with several occurrences, and whether all of them have one path; a
     # table of their own, so that the join has two plain exchanges and a hot minimizer is split
     anchors = materialize(
@@ -189,7 +189,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         .agg(F.collect_list(F.struct("anchor", "content", "copies", F.col("first.at").alias("at"))).alias("opened"))
     )
     edges = materialize(
-        texts.join(opened, ["doc", "part"]).dropDuplicates(["doc", "part"]).select("text", "opened").mapInArrow(
+        texts.join(opened, ["doc", "part"]).dropDuplicates(["doc", "part"]).select("text", "opened").transform(bounded).mapInArrow(
             _edges(window), "anchor long, content long, copies long, step int, e1 long, e2 long"), "dedup-edges")
     twice = edges.groupBy("e1", "e2").agg(F.sum("copies").alias("n")).filter("n > 1").select("e1", "e2")
     opened_masks = materialize(
@@ -203,7 +203,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     rows = docs.select(*document_key(id_col, text_col), F.struct(*docs.drop(text_col).columns).alias("__doc"), F.col(text_col).alias("__text"))
     marked = rows.join(verdicts, ["doc", "part"], "left").drop("doc", "part")
     own = docs.drop(text_col).schema.simpleString()
-    done = marked.mapInArrow(_remove(window), f"__doc {own}, __kept string, __n_words long, __n_removed long, __sha256 string")
+    done = marked.transform(bounded).mapInArrow(_remove(window), f"__doc {own}, __kept string, __n_words long, __n_removed long, __sha256 string")
     return done.select(
         F.col("__doc").alias("doc"), F.col("__kept").alias("kept"), F.col("__n_words").alias("n_words"),
         F.col("__n_removed").alias("n_removed"), F.col("__sha256").alias("kept_sha256"))

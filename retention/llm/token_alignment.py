@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .subword import chunks
 
 TOKENIZERS = "/opt/tokenizers"
@@ -243,7 +243,7 @@ def _added(docs: pa.Table, pairs: pa.Table) -> pa.Table:
 def align_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: its id under ``id_col``, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = materialize(texts.mapInArrow(_blocks(folder, block_chars), _FIELDS), "align-blocks")
+    blocks = materialize(texts.transform(bounded).mapInArrow(_blocks(folder, block_chars), _FIELDS), "align-blocks")
     own = materialize(blocks.filter("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select(
         "block", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n")), "align-pairs")
     counts = own.groupBy("pair").agg(F.sum("n").alias("n"))
