@@ -249,7 +249,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         grams.join(shared, "gram").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("hits"))
         .filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(partner / 12))).select("doc", "n")
     )
-    chosen = classes.select(F.col("first").alias("doc"), "part", "n", "node").join(likely, ["doc", "n"], "left_semi").select("doc", "part", "node")
+    # written before the texts are joined: the shuffles of the prefixes are gone by then
+    chosen = materialize(
+        classes.select(F.col("first").alias("doc"), "part", "n", "node").join(likely, ["doc", "n"], "left_semi").select("doc", "part", "node"),
+        "jaccard-chosen")
     full = materialize(
         texts.join(chosen, ["doc", "part"]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text")
         .transform(bounded).mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
