@@ -6,7 +6,8 @@ and a 64-bit hash of their text, so rows that share an id but not their text are
 
 1. Filter, in hash order.  If two sets are linked, their prefixes (the shingles one of them may
    lack, plus ``slack``) share at least ``slack`` shingles.  Prefix shingles are counted once; a
-   set with fewer shared prefix shingles than that has no partner and stops here.
+   set with fewer shared prefix shingles than that has no partner and stops here.  The texts of the
+   others are shuffled anew, those that stopped being left out by a table of bits before that.
 2. The sets left are ordered anew by exact document frequency, rarest first (then by hash): the
    global order.  Only shingles of the common prefix filter become postings, so passages and
    phrases that many documents share are not traversed unless a document has little else.
@@ -37,13 +38,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialize
 from .subword import Words, char_table, chunks, mix64
 
 NO_ID = 2**62  # keys from here on stand for rows without an id
+MARKS = 2**25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,6 +119,16 @@ def document_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(text, F.lit(NO_ID))).alias("doc"), text.alias("part")]
 
 
+def marked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose (doc, part) is not in ``chosen``, before a join shuffles them: a
+    key's bit is set in a table of ``MARKS`` bits at most, so that what is broadcast has a bound.  A key can meet
+    another's bit; the join after it decides."""
+    mark = F.pmod(F.xxhash64("doc", "part"), F.lit(MARKS))
+    word, bit = F.shiftright(mark, 6).alias("word"), F.pmod(mark, F.lit(64)).cast("int").alias("bit")
+    words = chosen.select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return rows.select("*", word, bit).join(F.broadcast(words), "word").filter(F.getbit("bits", F.col("bit")) == 1).select(*rows.columns)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id that links reach.  Labels move to
     the least of the neighbours' and then jump to their own label's label, until none changes."""
@@ -240,28 +252,36 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         .select("n", "k1", "k2", F.col("first.doc").alias("first"), F.col("first.part").alias("part"))
         # numbers in order of id: the centre of a list is then its oldest document, of which the others are copies
         .orderBy("first", "part").withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    # 1. filter: how many shingles of each prefix are found in another prefix
-    grams = sets.select("doc", "n", F.explode("prefix").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
+    # 1. filter: how many shingles of each prefix are found in another prefix: all but those counted once, whose
+    # only owner is known from the count, so that the prefixes are shuffled once and joined with nothing
+    alone = (
+        sets.select("doc", "n", F.explode("prefix").alias("gram"))
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("doc"), F.min("n").alias("n")).filter("df = 1")
+        .groupBy("doc", "n").agg(F.count(F.lit(1)).alias("alone"))
+    )
     partner = F.ceil(F.col("n") * percent / 100)  # size of the smallest set it can be linked with
     # texts that share an id and a size are counted together here, which only lets more of them through
     likely = (
-        grams.join(shared, "gram").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(partner / 12))).select("doc", "n")
+        sets.groupBy("doc", "n").agg(F.sum(F.size("prefix")).alias("held")).join(alone, ["doc", "n"], "left")
+        .filter(F.col("held") - F.coalesce("alone", F.lit(0)) >= F.greatest(F.lit(1), F.floor(partner / 12))).select("doc", "n")
     )
     # written before the texts are joined: the shuffles of the prefixes are gone by then
     chosen = materialize(
         classes.select(F.col("first").alias("doc"), "part", "n", "node").join(likely, ["doc", "n"], "left_semi").select("doc", "part", "node"),
         "jaccard-chosen")
+    # a class has one (doc, part): its copies are dropped where the join has put them
     full = materialize(
-        texts.join(chosen, ["doc", "part"]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "text")
+        marked(texts, chosen).join(chosen, ["doc", "part"]).dropDuplicates(["doc", "part", "node"]).select(F.col("node").alias("doc"), "text")
         .transform(bounded).mapInArrow(_sets(n), "doc long, grams array<long>"), "jaccard-full")
     # 2. the global order: document frequency, then hash
     tokens = full.select("doc", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
-    frequency = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    frequency = F.count(F.lit(1)).over(Window.partitionBy("gram"))  # one shuffle of the tokens
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("grams"))  # after the grams found once
     ordered = materialize(
-        tokens.join(frequency, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
+        tokens.withColumn("df", frequency).filter("df > 1")
+        # two plain lists are half the size of a list of structs in the shuffle
+        .groupBy("doc", "n").agg(F.collect_list("df").alias("df"), F.collect_list("gram").alias("gram"))
+        .select("doc", "n", F.sort_array(F.arrays_zip("df", "gram")).alias("ordered"))
         .select("doc", "n", F.col("ordered.gram").alias("grams"), ranges(F.col("ordered"), fragments).alias("cuts")), "jaccard-ordered")
     postings = materialize(
         ordered.filter(lead > 0)
@@ -325,8 +345,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id, then text hash."""
-    from pyspark.sql import Window
-
     found = components(docs, id_col, text_col, n, percent)
     keepers = materialize(found.filter("stays").select("doc", "part").distinct(), "jaccard-keepers")
     keyed = docs.select(F.struct("*").alias("row"), *document_key(id_col, text_col)).join(keepers, ["doc", "part"], "left_semi")
